@@ -67,3 +67,52 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of a membership table: 4 MB, whatever the input.
+BITS = 1 << 25
+
+
+def bit_table(values: DataFrame, column: str):
+    """A broadcast bit table of the long ``column``: a fixed size, so it may hit falsely but never misses."""
+    import numpy as np
+
+    low = F.col(column).bitwiseAND(F.lit(BITS - 1))
+    cells = values.select(low.alias("at")).selectExpr("CAST(at >> 6 AS INT) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b")
+    found = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BITS / 64 rows of 12 bytes
+    out = np.zeros(BITS // 64, np.int64)
+    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
+    return values.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def in_table(bits: bytes, values):
+    """Which of the numpy longs may be in a bit table."""
+    import numpy as np
+
+    words = np.frombuffer(bits, np.int64)
+    at = values & np.int64(BITS - 1)
+    return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
+def without(rows: DataFrame, key: str, removed: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` isn't in the one column of ``removed``.
+
+    Rows that the bit table clears go on where they are; only the others, few while the table isn't full, are shuffled to an
+    exact anti join.
+    """
+    removed = removed.select(F.col(f"`{removed.columns[0]}`").alias("__removed"))
+    bits = bit_table(removed.select(F.xxhash64("__removed").alias("h")), "h")
+    marked = rows.select("*", F.xxhash64(F.col(f"`{key}`")).alias("__h"))
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                mask = in_table(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == hit
+                yield pa.record_batch(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(mask))
+
+        return marked.mapInArrow(run, rows.schema)
+
+    doubtful = part(True)
+    return part(False).unionByName(doubtful.join(removed, doubtful[key] == removed["__removed"], "left_anti"))
