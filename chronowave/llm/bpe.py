@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,8 +249,6 @@ def text_groups(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tup
 
 def encode_column(path: str) -> Column:
     """A pandas UDF from text to ids as little-endian unsigned 32-bit integers in one binary value."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = open_bpe(path)
@@ -264,8 +263,6 @@ def encode_column(path: str) -> Column:
 
 def decode_column(path: str) -> Column:
     """A pandas UDF from packed ids to text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = open_bpe(path)
