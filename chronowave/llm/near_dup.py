@@ -2,8 +2,9 @@
 
 Texts are sets of word shingles. Two sets with Jaccard >= t share a token in their prefixes under *every* global token order
 (a prefix holds the first ``n - ceil(t n) + 1`` tokens). Orders here put frequent tokens last and break ties by a different
-mixing of the token's hash. Candidates share a prefix token under the first order; then prefixes under the second and third
-are intersected; only pairs that pass all are verified on whole sets.
+mixing of the token's hash. Candidates share a prefix token under the first order. Under the second and third, prefixes are
+longer by as much again, and similar sets then share ``n - ceil(t n) + 1`` tokens of each: only pairs that pass all orders are
+verified on whole sets. Prefixes, and then sets, are made again from the texts of the documents concerned alone.
 
 Equal sets are one node, so copies never make pairs. A posting list first gives a star (every node with the list's least), a
 number of pairs linear in the list. Verified stars are joined to components, and only lists that still hold several
@@ -55,10 +56,11 @@ def set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-def prefix(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int, num: int, den: int) -> np.ndarray:
-    """The tokens of a set's prefix under an order."""
+def prefix(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int, num: int, den: int, share: bool = False) -> np.ndarray:
+    """The tokens of a set's prefix under an order; with ``share``, of the longer prefix."""
     n = len(hashes)
     length = n - -(-num * n // den) + 1
+    length = 2 * length - 1 if share else length
     with np.errstate(over="ignore"):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * MIXERS[order]
     return hashes[np.lexsort((mixed ^ (mixed >> np.uint64(32)), frequency(hashes, heavy)))[:length]]
@@ -155,38 +157,60 @@ def _shared(postings: DataFrame, heavy) -> DataFrame:
     return dealt.sortWithinPartitions("token", "id").select("token", "id", "n").mapInArrow(run, "token long, id long, n int")
 
 
-def _sets(docs: DataFrame, wanted, heavy, k: int, num: int, den: int) -> DataFrame:
-    """id, its prefixes under the other orders, and its whole set, for the wanted sets, each from its least document."""
+def _wanted(docs: DataFrame, bits, make, schema: str) -> DataFrame:
+    """``make(set)`` of the sets whose least document the bit table may hold; other texts aren't even split.
+
+    A false hit gives a row that no pair asks for.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known, bits = heavy.value, wanted.value
         seen: set[int] = set()
         for batch in batches:
-            texts, hashes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for a, b in text_groups(texts):
-                rows = []
-                sets = [shingles(t, k) for t in texts[a:b]]
-                ids = np.array([set_id(s) if len(s) else 0 for s in sets], np.int64)
-                for s, i, hit in zip(sets, ids.tolist(), in_table(bits, ids ^ hashes[a:b]), strict=True):
-                    if hit and len(s) and i not in seen:
-                        seen.add(i)
-                        rows.append((i, *(prefix(s, known, o, num, den).view(np.int64) for o in (1, 2)), s.view(np.int64)))
-                cols = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.record_batch([pa.array(cols[0], pa.int64()), *[pa.array(list(c), pa.list_(pa.int64())) for c in cols[1:]]], ["id", "p1", "p2", "tokens"])
+            rows = []
+            hit = in_table(bits.value, batch.column(1).to_numpy())
+            for text in batch.column(0).filter(pa.array(hit)).to_pylist():
+                s = make[0](text)
+                if len(s) and (i := set_id(s)) not in seen:
+                    seen.add(i)
+                    rows.append((i, len(s), *make[1](s)))
+                if sum(len(r[-1]) for r in rows[-1:]) > 100_000 or len(rows) >= 1000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+    def _batch(rows: list):
+        import pyarrow as pa
 
-    return docs.mapInArrow(run, "id long, p1 array<long>, p2 array<long>, tokens array<long>")
+        cols = list(zip(*rows, strict=True)) or [()] * (2 + schema.count("array"))
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(list(c), pa.list_(pa.int64())) for c in cols[2:]]], names)
 
+    return docs.mapInArrow(run, schema)
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that pass the other orders, then the exact test."""
-    side = lambda name, *cols: sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
-    both = F.arrays_overlap("a_p1", "b_p1") & F.arrays_overlap("a_p2", "b_p2")
-    passed = pairs.join(side("a", "p1", "p2"), "a").join(side("b", "p1", "p2"), "b").where(both).select("a", "b").distinct()
+    hashed = source.select("text", F.xxhash64("key").alias("h"))
+    split = lambda text: shingles(text, k)
+    longer = lambda s: [prefix(s, heavy.value, o, num, den, True).view(np.int64) for o in (1, 2)]
+    side = lambda sets, name, *cols: sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
+
+    def bits(of: DataFrame):
+        ends = of.select(F.col("a").alias("id")).union(of.select("b")).distinct()
+        return bit_table(ends.join(nodes, "id").select(F.xxhash64("least").alias("h")), "h")
+
+    prefixes = written(_wanted(hashed, bits(pairs), (split, longer), "id long, n long, p1 array<long>, p2 array<long>"), "prefixes")
+    share = lambda n: F.col(n) - F.expr(f"({n} * {num} + {den - 1}) div {den}") + 1
+    least = F.least(share("a_n"), share("b_n"))
+    both = (F.size(F.array_intersect("a_p1", "b_p1")) >= least) & (F.size(F.array_intersect("a_p2", "b_p2")) >= least)
+    passed = pairs.join(side(prefixes, "b", "n", "p1", "p2"), "b").join(side(prefixes, "a", "n", "p1", "p2"), "a").where(both).select("a", "b").distinct()
+    passed = written(passed, "passed")
+    sets = written(_wanted(hashed, bits(passed), (split, lambda s: [s.view(np.int64)]), "id long, n long, tokens array<long>"), "sets")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     exact = common * den >= (F.size("a_tokens") + F.size("b_tokens") - common) * num
-    return passed.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a").where(exact).select("a", "b").distinct()
+    return passed.join(side(sets, "b", "tokens"), "b").join(side(sets, "a", "tokens"), "a").where(exact).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,12 +250,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     stars = shared.join(hubs, "token").where((F.col("id") != F.col("hub.id")) & similar(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     stars = written(stars, "stars")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = ends.join(nodes, "id").select(F.col("id").bitwiseXOR(F.xxhash64("least")).alias("at"))
-        return written(_sets(source.select("text", F.xxhash64("key").alias("h")), bit_table(wanted, "at"), heavy, k, num, den), "sets")
-
-    linked = written(_verified(stars, sets_of(stars), num, den), "links")
+    linked = written(_verified(stars, source, nodes, heavy, k, num, den), "links")
     first = components(linked)
     # Lists with several components left: pairs between components, one side outside the list's largest.
     placed = shared.join(first, "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
@@ -245,7 +264,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     final = first
     if not cross.isEmpty():
-        more = written(_verified(cross, sets_of(cross), num, den), "links")
+        more = written(_verified(cross, source, nodes, heavy, k, num, den), "links")
         if not more.isEmpty():
             final = components(linked.union(more))
 
