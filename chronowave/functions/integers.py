@@ -77,13 +77,12 @@ def multiply(a: Int, b: Int, signed: bool) -> Int:
     if max(abs(lo), abs(hi)) < 10**37:
         narrow = fits(lo, hi) and a.narrow and b.narrow
         return Int(a.as_(narrow) * b.as_(narrow), lo, hi).settle(signed)
-    # 64 x 64 bits pass 38 digits: the left side goes in 32-bit halves, each product wrapped.
-    limb = number(1 << 32)
-    left, right = F.pmod(a.as_(False), number(U64)).cast(DECIMAL), F.pmod(b.as_(False), number(U64)).cast(DECIMAL)
-    high, low = F.floor(left / limb).cast("decimal(20,0)"), F.pmod(left, limb).cast("decimal(20,0)")
-    right = right.cast("decimal(20,0)")
-    part = F.pmod((high * right).cast(DECIMAL), limb).cast("decimal(20,0)")
-    return Int(((part * limb.cast("decimal(17,0)")).cast(DECIMAL) + (low * right).cast(DECIMAL)), 0, (1 << 97)).settle(signed)
+    # 64 x 64 bits pass 38 digits: 32-bit halves of the patterns, whose products have 20 digits.
+    half = lambda p, high: (F.shiftrightunsigned(p, 32) if high else p.bitwiseAND(F.lit(0xFFFFFFFF))).cast("decimal(10,0)")
+    x, y = a.pattern(), b.pattern()
+    limb = F.expr(f"CAST({1 << 32} AS decimal(10,0))")
+    middle = F.pmod(half(x, False) * half(y, True) + half(x, True) * half(y, False), limb).cast("decimal(10,0)")
+    return Int((middle * limb + half(x, False) * half(y, False)).cast(DECIMAL), 0, 1 << 65).settle(signed)
 
 
 def divide(a: Int, b: Int, signed: bool) -> tuple[Int, Int]:
