@@ -55,7 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove written tables that no later plan reads."""
+    for t in tables:
+        drop_path(t.sparkSession, t.scratch_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -6,10 +6,15 @@ mixing of the token's hash. Candidates share a prefix token under the first orde
 longer by as much again, and similar sets then share ``n - ceil(t n) + 1`` tokens of each: only pairs that pass all orders are
 verified on whole sets. Prefixes, and then sets, are made again from the texts of the documents concerned alone.
 
-Equal sets are one node, so copies never make pairs. A posting list first gives a star (every node with the list's least), a
-number of pairs linear in the list. Verified stars are joined to components, and only lists that still hold several
-components give further pairs: those between different components, of which one is never the list's largest. Every pair that
-shares a token is thus tested or already connected, so components are exact and no group is squared.
+Postings carry their token's position in the prefix. At the first token that two sets share, nothing before it is common, so
+``min(n_a - i, n_b - j)`` bounds the intersection; a pair must pass this bound at some shared token. The smaller set of a pair
+passes it in an even shorter prefix (``small``), so a list without such postings gives no pairs: texts that are mostly one
+common passage, and too different all the same, are never paired.
+
+Equal sets are one node, so copies never make pairs. A posting list first gives a star (every node with the one whose token
+comes earliest), a number of pairs linear in the list. Verified stars are joined to components, and only lists that still hold
+several components give further pairs: those between different components, of which one is never the list's largest. Every pair
+that passes the bound is thus tested or already connected, so components are exact.
 
 Frequent tokens are counted over all texts: tokens found in ``LOCAL`` documents or more of a run of texts are summed over the
 corpus, and the ``HEAVY`` most frequent ones form a table of fixed size. Any table gives right results; it only orders.
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import bit_table, in_table, table, without, written
+from .common import bit_table, drop_tables, in_table, table, without, written
 
 LOCAL, HEAVY, SALT_FROM, SALTS = 4, 1 << 16, 200, 16
 #: Odd multipliers that make the three orders (arbitrary fixed values).
@@ -97,7 +102,7 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
-    """token, salt, id, n of the prefixes under the first order; each set once per task."""
+    """token, salt, id, n, pos of the prefixes under the first order; each set once per task."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -107,7 +112,7 @@ def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in text_groups(texts):
-                tokens, salts, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], []
+                tokens, salts, ids, sizes, places = ([np.zeros(0, x)] for x in (np.int64, np.int32, np.int64, np.int32, np.int32))
                 for t in texts[a:b]:
                     s = shingles(t, k)
                     if not len(s) or (i := set_id(s)) in seen:
@@ -119,9 +124,10 @@ def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
                     salts.append(np.where(frequency(p, known) >= SALT_FROM, i % SALTS, 0).astype(np.int32))
                     ids.append(np.full(len(p), i, np.int64))
                     sizes.append(np.full(len(p), len(s), np.int32))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (tokens, salts, [*ids, np.zeros(0, np.int64)], [*sizes, np.zeros(0, np.int32)])], ["token", "salt", "id", "n"])
+                    places.append(np.arange(len(p), dtype=np.int32))
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (tokens, salts, ids, sizes, places)], ["token", "salt", "id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, salt int, id long, n int")
+    return docs.mapInArrow(run, "token long, salt int, id long, n int, pos int")
 
 
 def _shared(postings: DataFrame, heavy) -> DataFrame:
@@ -135,26 +141,26 @@ def _shared(postings: DataFrame, heavy) -> DataFrame:
 
         tokens, counts = heavy.value
 
-        def emit(x: np.ndarray, ids: np.ndarray, n: np.ndarray):
+        def emit(x: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray):
             fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (ids[1:] != ids[:-1]))) if len(x) else np.zeros(0, bool)
-            x, ids, n = x[fresh], ids[fresh], n[fresh]
+            x, ids, n, pos = x[fresh], ids[fresh], n[fresh], pos[fresh]
             same = np.concatenate(([False], x[1:] == x[:-1])) if len(x) else np.zeros(0, bool)
             several = same | np.append(same[1:], False) if len(x) else same
             keep = several | (frequency(x.view(np.uint64), (tokens, counts)) >= SALT_FROM)
-            return pa.record_batch([pa.array(x[keep]), pa.array(ids[keep]), pa.array(n[keep])], ["token", "id", "n"])
+            return pa.record_batch([pa.array(x[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(pos[keep])], ["token", "id", "n", "pos"])
 
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, x) for x in (np.int64, np.int64, np.int32, np.int32)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, ids, n = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("token", "id", "n"), strict=True))
-            cut = int(np.searchsorted(x, x[-1]))  # the last list may go on
-            held = [x[cut:], ids[cut:], n[cut:]]
-            yield emit(x[:cut], ids[:cut], n[:cut])
+            now = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("token", "id", "n", "pos"), strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on
+            held = [c[cut:] for c in now]
+            yield emit(*(c[:cut] for c in now))
         yield emit(*held)
 
     dealt = postings.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
-    return dealt.sortWithinPartitions("token", "id").select("token", "id", "n").mapInArrow(run, "token long, id long, n int")
+    return dealt.sortWithinPartitions("token", "id").select("token", "id", "n", "pos").mapInArrow(run, "token long, id long, n int, pos int")
 
 
 def _wanted(docs: DataFrame, bits, make, schema: str) -> DataFrame:
@@ -210,7 +216,9 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, heavy, k: i
     sets = written(_wanted(hashed, bits(passed), (split, lambda s: [s.view(np.int64)]), "id long, n long, tokens array<long>"), "sets")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     exact = common * den >= (F.size("a_tokens") + F.size("b_tokens") - common) * num
-    return passed.join(side(sets, "b", "tokens"), "b").join(side(sets, "a", "tokens"), "a").where(exact).select("a", "b").distinct()
+    links = written(passed.join(side(sets, "b", "tokens"), "b").join(side(sets, "a", "tokens"), "a").where(exact).select("a", "b").distinct(), "links")
+    drop_tables(prefixes, passed, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,15 +227,17 @@ def components(edges: DataFrame) -> DataFrame:
     Least-label spreading with pointer jumping; each round is a written table, so any executor can be lost.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "id"), "labels")
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
         moved = labels.join(jump, "root").join(near, labels["id"] == near["a"], "left")
-        following = written(moved.select("id", F.least("root", "far", "near").alias("root"), (F.least("far", "near") < F.col("root")).alias("moved")), "labels")
+        following = written(moved.select(labels["id"], F.least("root", "far", "near").alias("root"), (F.least("far", "near") < F.col("root")).alias("moved")), "labels")
+        drop_tables(labels)
         if following.where("moved").isEmpty():
-            return following.select("id", "root")
-        labels = following.select("id", "root")
+            drop_tables(both)
+            return following
+        labels = following
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -245,28 +255,36 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     nodes = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("least"))
 
     shared = written(_shared(_postings(source.select("text"), heavy, k, num, den), heavy), "shared")
-    hubs = shared.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub"))
-    similar = lambda x, y: (x * den >= y * num) & (y * den >= x * num)  # noqa: E731  sizes that allow the similarity
-    stars = shared.join(hubs, "token").where((F.col("id") != F.col("hub.id")) & similar(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    stars = written(stars, "stars")
+    whole = F.lit(num + den).cast("long")
+    fits = lambda x, y: F.least(x["n"] - x["pos"], y["n"] - y["pos"]) * whole >= (x["n"] + y["n"]).cast("long") * num  # noqa: E731  the bound at this token
+    hub = F.min(F.struct(F.expr("pos * 20L div n").alias("depth"), "id", "n", "pos")).alias("hub")
+    stars = shared.join(shared.groupBy("token").agg(hub), "token").where((F.col("id") != F.col("hub.id")) & fits({"n": F.col("n"), "pos": F.col("pos")}, F.col("hub")))
+    stars = written(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "stars")
 
-    linked = written(_verified(stars, source, nodes, heavy, k, num, den), "links")
+    linked = _verified(stars, source, nodes, heavy, k, num, den)
     first = components(linked)
     # Lists with several components left: pairs between components, one side outside the list's largest.
-    placed = shared.join(first, "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
-    cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
-    open_lists = cells.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1").select("token", "main")
-    left_over = written(placed.join(open_lists, "token"), "open")
-    x = left_over.where("root <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = left_over.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & similar(F.col("na"), F.col("nb"))
-    cross = x.join(y, "token").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = shared.join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), F.struct("id", "n", "pos").alias("p"), ((F.col("n") - F.col("pos")) * whole >= F.col("n").cast("long") * 2 * num).alias("small"))
+    cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("small"))
+    open_lists = cells.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max("small").alias("any"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    left_over = written(placed.join(open_lists.where("roots > 1 AND any").select("token", "main"), "token"), "open")
+    side = lambda name, of: left_over.where(of).select("token", F.col("p").alias(name), F.col("root").alias(f"{name}_root"), F.col("p.n").alias(f"{name}_n"))
+
+    def across(less: str, more: str, sizes: str) -> DataFrame:
+        """Pairs of a smaller and a larger set that the bound allows."""
+        found = side("x", f"small AND {less}").join(side("y", more), "token").where(f"x_root <> y_root AND {sizes}").where(fits(F.col("x"), F.col("y")))
+        return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    cross = across("root <> main", "true", "x_n <= y_n").union(across("root = main", "root <> main", "x_n <= y_n")).distinct()
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    drop_tables(shared, stars, left_over)
     final = first
     if not cross.isEmpty():
-        more = written(_verified(cross, source, nodes, heavy, k, num, den), "links")
+        more = _verified(cross, source, nodes, heavy, k, num, den)
         if not more.isEmpty():
             final = components(linked.union(more))
+        drop_tables(more)
+    drop_tables(cross, linked)
 
     named = nodes.join(final, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
