@@ -11,6 +11,10 @@ Postings carry their token's position in the prefix. At the first token that two
 passes it in an even shorter prefix (``small``), so a list without such postings gives no pairs: texts that are mostly one
 common passage, and too different all the same, are never paired.
 
+A bitmap of each set (``64 * WORDS`` bits, one per token by hash) bounds the intersection again: every bit of A that B lacks is
+a token of A that B lacks. It drops pairs before prefixes move, and in lists of more than ``LONG_LIST`` sets before pairs are
+made. Both bounds only drop pairs that can't be similar.
+
 Equal sets are one node, so copies never make pairs. A posting list first gives a star (every node with the one whose token
 comes earliest), a number of pairs linear in the list. Verified stars are joined to components, and only lists that still hold
 several components give further pairs: those between different components, of which one is never the list's largest. Every pair
@@ -29,13 +33,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
 from .common import bit_table, drop_tables, in_table, table, without, written
 
 LOCAL, HEAVY, SALT_FROM, SALTS = 4, 1 << 16, 200, 16
+WORDS, LONG_LIST = 16, 16
+BITMAP = [f"s{i}" for i in range(WORDS)]
 #: Odd multipliers that make the three orders (arbitrary fixed values).
 MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -61,6 +67,13 @@ def set_id(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """``WORDS`` longs with a bit for each token."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(hashes % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def prefix(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int, num: int, den: int, share: bool = False) -> np.ndarray:
     """The tokens of a set's prefix under an order; with ``share``, of the longer prefix."""
     n = len(hashes)
@@ -80,7 +93,7 @@ def frequency(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (kind 0: row's key hash is dropped, key, set id, size) of documents and (kind 1: token, count) of frequent tokens."""
+    """Rows (kind 0: key, set id, size, bitmap) of documents and (kind 1: token, count) of frequent tokens."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -94,11 +107,13 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
                 often = count >= LOCAL
                 token, count = token[often].view(np.int64), count[often]
                 m = len(token)
-                yield pa.record_batch(
-                    [pa.array([0] * (b - a) + [1] * m, pa.int32()), pa.array(keys[a:b] + [None] * m, pa.int64()), pa.array(ids + token.tolist(), pa.int64()), pa.array([len(s) for s in sets] + count.tolist(), pa.int64())], ["kind", "key", "id", "n"]
-                )
+                bits = np.zeros((b - a + m, WORDS), np.int64)
+                for i, x in enumerate(sets):
+                    bits[i] = bitmap(x)
+                columns = [pa.array([0] * (b - a) + [1] * m, pa.int32()), pa.array(keys[a:b] + [None] * m, pa.int64()), pa.array(ids + token.tolist(), pa.int64()), pa.array([len(s) for s in sets] + count.tolist(), pa.int64())]
+                yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["kind", "key", "id", "n", *BITMAP])
 
-    return docs.mapInArrow(run, "kind int, key long, id long, n long")
+    return docs.mapInArrow(run, "kind int, key long, id long, n long" + "".join(f", {c} long" for c in BITMAP))
 
 
 def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
@@ -259,25 +274,46 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     fits = lambda x, y: F.least(x["n"] - x["pos"], y["n"] - y["pos"]) * whole >= (x["n"] + y["n"]).cast("long") * num  # noqa: E731  the bound at this token
     hub = F.min(F.struct(F.expr("pos * 20L div n").alias("depth"), "id", "n", "pos")).alias("hub")
     stars = shared.join(shared.groupBy("token").agg(hub), "token").where((F.col("id") != F.col("hub.id")) & fits({"n": F.col("n"), "pos": F.col("pos")}, F.col("hub")))
-    stars = written(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "stars")
+    sketches = written(survey.where("kind = 0 AND id IS NOT NULL").dropDuplicates(["id"]).select("id", "n", *BITMAP), "sketches")
+
+    def alike(x: str, y: str) -> Column:
+        """The bound by the bitmaps in columns that start with ``x`` and ``y``."""
+        both = lambda of: sum((F.bit_count(of(F.col(f"{x}_{c}"), F.col(f"{y}_{c}"))) for c in BITMAP), F.lit(0))
+        x_alone, y_alone = both(lambda p, q: p.bitwiseAND(F.bitwise_not(q))), both(lambda p, q: q.bitwiseAND(F.bitwise_not(p)))
+        n, m = F.col(f"{x}_n").cast("long"), F.col(f"{y}_n").cast("long")
+        return F.least(n - x_alone, m - y_alone) * whole >= (n + m) * num
+
+    def drawn(name: str, key: str) -> DataFrame:
+        return sketches.select(F.col("id").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *BITMAP)])
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        return pairs.join(drawn("b", "b"), "b").join(drawn("a", "a"), "a").where(alike("a", "b")).select("a", "b")
+
+    stars = written(sifted(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()), "stars")
 
     linked = _verified(stars, source, nodes, heavy, k, num, den)
     first = components(linked)
     # Lists with several components left: pairs between components, one side outside the list's largest.
     placed = shared.join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), F.struct("id", "n", "pos").alias("p"), ((F.col("n") - F.col("pos")) * whole >= F.col("n").cast("long") * 2 * num).alias("small"))
     cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("small"))
-    open_lists = cells.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max("small").alias("any"), F.max_by("root", F.struct("m", "root")).alias("main"))
-    left_over = written(placed.join(open_lists.where("roots > 1 AND any").select("token", "main"), "token"), "open")
-    side = lambda name, of: left_over.where(of).select("token", F.col("p").alias(name), F.col("root").alias(f"{name}_root"), F.col("p.n").alias(f"{name}_n"))
-
-    def across(less: str, more: str, sizes: str) -> DataFrame:
-        """Pairs of a smaller and a larger set that the bound allows."""
-        found = side("x", f"small AND {less}").join(side("y", more), "token").where(f"x_root <> y_root AND {sizes}").where(fits(F.col("x"), F.col("y")))
-        return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-    cross = across("root <> main", "true", "x_n <= y_n").union(across("root = main", "root <> main", "x_n <= y_n")).distinct()
+    open_lists = cells.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max("small").alias("any"), F.sum("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    left_over = written(placed.join(open_lists.where("roots > 1 AND any").select("token", "main", (F.col("m") > LONG_LIST).alias("long")), "token"), "open")
+
+    def side(name: str, of: str, long: bool) -> DataFrame:
+        found = left_over.where(of).where(F.col("long") == long).select("token", F.col("p").alias(name), F.col("root").alias(f"{name}_root"), F.col("p.n").alias(f"{name}_size"), F.col("p.id").alias(f"{name}_id"))
+        return found.join(drawn(name, f"{name}_id"), f"{name}_id") if long else found
+
+    def across(less: str, more: str, sizes: str, long: bool) -> DataFrame:
+        """Pairs of a smaller and a larger set that the bounds allow."""
+        bounds = fits(F.col("x"), F.col("y")) & alike("x", "y") if long else fits(F.col("x"), F.col("y"))
+        found = side("x", f"small AND {less}", long).join(side("y", more, long), "token").where(f"x_root <> y_root AND {sizes}").where(bounds)
+        return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+    kinds = [("root <> main", "true", "x_size <= y_size"), ("root = main", "root <> main", "x_size <= y_size")]
+    short, long = (across(*kinds[0], of).union(across(*kinds[1], of)).distinct() for of in (False, True))
+    cross = sifted(short).union(long).distinct()
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    drop_tables(shared, stars, left_over)
+    drop_tables(shared, stars, sketches, left_over)
     final = first
     if not cross.isEmpty():
         more = _verified(cross, source, nodes, heavy, k, num, den)

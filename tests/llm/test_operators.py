@@ -100,6 +100,23 @@ def test_near_duplicates(spark, odd, none):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {c for _, c in links(rows, 5, 80, 100).values()}
 
 
+def test_near_duplicates_of_one_passage(spark):
+    """Texts that are mostly one passage, in lists long enough for the bitmap bound, with similarities around the threshold."""
+    r = random.Random(5)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(150):
+        own = [f"u{i}x{j}" for j in range(r.randint(0, 14))]
+        w = passage[: r.randint(45, 60)] + own if i % 2 else own + passage
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 5)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, num, den in ((3, 90, 100), (5, 80, 100)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.ngram_components(docs, k=k, num=num, den=den).collect()}
+        assert got == links(rows, k, num, den)
+        assert 1 < len({c for _, c in got.values()}) < len(rows)
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "v", "é" * 50)], "page_id long, url string, html string")
     archive = warc.write_archive(pages, common.scratch(spark, "test-warc"))
