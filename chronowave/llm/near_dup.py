@@ -13,7 +13,7 @@ common passage, and too different all the same, are never paired.
 
 A bitmap of each set (``64 * WORDS`` bits, one per token by hash) bounds the intersection again: every bit of A that B lacks is
 a token of A that B lacks. It drops pairs before prefixes move, and in lists of more than ``LONG_LIST`` sets before pairs are
-made. Both bounds only drop pairs that can't be similar.
+made (a shorter list gives at most ``LONG_LIST`` pairs a member). Both bounds only drop pairs that can't be similar.
 
 Equal sets are one node, so copies never make pairs. A posting list first gives a star (every node with the one whose token
 comes earliest), a number of pairs linear in the list. Verified stars are joined to components, and only lists that still hold
@@ -40,7 +40,7 @@ from .bpe import text_groups
 from .common import bit_table, drop_tables, in_table, table, without, written
 
 LOCAL, HEAVY, SALT_FROM, SALTS = 4, 1 << 16, 200, 16
-WORDS, LONG_LIST = 16, 16
+WORDS, LONG_LIST = 16, 256
 BITMAP = [f"s{i}" for i in range(WORDS)]
 #: Odd multipliers that make the three orders (arbitrary fixed values).
 MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -294,23 +294,24 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     linked = _verified(stars, source, nodes, heavy, k, num, den)
     first = components(linked)
     # Lists with several components left: pairs between components, one side outside the list's largest.
-    placed = shared.join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), F.struct("id", "n", "pos").alias("p"), ((F.col("n") - F.col("pos")) * whole >= F.col("n").cast("long") * 2 * num).alias("small"))
+    placed = shared.join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", F.col("n").alias("size"), "pos", ((F.col("n") - F.col("pos")) * whole >= F.col("n").cast("long") * 2 * num).alias("small"))
     cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("small"))
     open_lists = cells.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max("small").alias("any"), F.sum("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("main"))
     left_over = written(placed.join(open_lists.where("roots > 1 AND any").select("token", "main", (F.col("m") > LONG_LIST).alias("long")), "token"), "open")
 
     def side(name: str, of: str, long: bool) -> DataFrame:
-        found = left_over.where(of).where(F.col("long") == long).select("token", F.col("p").alias(name), F.col("root").alias(f"{name}_root"), F.col("p.n").alias(f"{name}_size"), F.col("p.id").alias(f"{name}_id"))
+        found = left_over.where(of).where(F.col("long") == long).select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "root", "size", "pos")])
         return found.join(drawn(name, f"{name}_id"), f"{name}_id") if long else found
 
-    def across(less: str, more: str, sizes: str, long: bool) -> DataFrame:
+    def across(less: str, more: str, long: bool) -> DataFrame:
         """Pairs of a smaller and a larger set that the bounds allow."""
-        bounds = fits(F.col("x"), F.col("y")) & alike("x", "y") if long else fits(F.col("x"), F.col("y"))
-        found = side("x", f"small AND {less}", long).join(side("y", more, long), "token").where(f"x_root <> y_root AND {sizes}").where(bounds)
+        x, y = ({"n": F.col(f"{c}_size"), "pos": F.col(f"{c}_pos")} for c in "xy")
+        bounds = fits(x, y) & alike("x", "y") if long else fits(x, y)
+        found = side("x", f"small AND {less}", long).join(side("y", more, long), "token").where("x_root <> y_root AND x_size <= y_size").where(bounds)
         return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
 
-    kinds = [("root <> main", "true", "x_size <= y_size"), ("root = main", "root <> main", "x_size <= y_size")]
-    short, long = (across(*kinds[0], of).union(across(*kinds[1], of)).distinct() for of in (False, True))
+    short = across("true", "true", False).distinct()
+    long = across("root <> main", "true", True).union(across("root = main", "root <> main", True))  # the largest is never paired with itself
     cross = sifted(short).union(long).distinct()
     cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     drop_tables(shared, stars, sketches, left_over)

@@ -100,8 +100,10 @@ def test_near_duplicates(spark, odd, none):
     assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {c for _, c in links(rows, 5, 80, 100).values()}
 
 
-def test_near_duplicates_of_one_passage(spark):
-    """Texts that are mostly one passage, in lists long enough for the bitmap bound, with similarities around the threshold."""
+@pytest.mark.parametrize("long_list", [0, 256])
+def test_near_duplicates_of_one_passage(spark, monkeypatch, long_list):
+    """Texts that are mostly one passage, in lists with and without the bitmap bound, with similarities around the threshold."""
+    monkeypatch.setattr(near_dup, "LONG_LIST", long_list)
     r = random.Random(5)
     passage, rows = [f"p{i}" for i in range(60)], []
     for i in range(150):
@@ -250,6 +252,7 @@ def test_pii_features_agree(spark):
 
 
 def test_classifier(spark, odd, none):
+    monkeypatch.setattr(near_dup, "LONG_LIST", long_list)
     r = random.Random(5)
     good = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(r.randint(5, 300)))
     rows = [(i, good() if i % 3 else good().upper().replace(" ", "!! "), int(bool(i % 3))) for i in range(240)]
