@@ -252,7 +252,6 @@ def test_pii_features_agree(spark):
 
 
 def test_classifier(spark, odd, none):
-    monkeypatch.setattr(near_dup, "LONG_LIST", long_list)
     r = random.Random(5)
     good = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(r.randint(5, 300)))
     rows = [(i, good() if i % 3 else good().upper().replace(" ", "!! "), int(bool(i % 3))) for i in range(240)]
