@@ -10,8 +10,8 @@ scan; lengths count code points. Patterns are written possessive or anchored at
 runs of digits or letters cost linear time and no stack.
 
 Defined results: null and empty texts have no spans (the hash of an empty string); overlapping spans of different base kinds
-all stay; a candidate that overlaps a base span is dropped, of overlapping candidates the likelier, then longer, then first
-stays; repeated rows are judged each; an empty table stays empty.
+all stay, and candidates are scored and kept whether they overlap them or not; of overlapping candidates the likelier, then
+longer, then first stays; repeated rows are judged each; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -224,8 +224,8 @@ def _tree_column(t: Tree, x: list[Column]) -> Column:
     return F.lit(t.value) if t.left is None else F.when(x[t.feature] <= t.cut, _tree_column(t.left, x)).otherwise(_tree_column(t.right, x))
 
 
-def method_spans(text: Column, base: Column, threshold: float = 0.5) -> Column:
-    """The selected candidates: no overlap with ``base``, nor with each other."""
+def method_spans(text: Column, threshold: float = 0.5) -> Column:
+    """The selected candidates: no overlap with each other; base spans drop none, as the rest of a secret around one is a secret."""
     model = boosted()
 
     def scored(c: Column) -> Column:
@@ -246,8 +246,7 @@ def method_spans(text: Column, base: Column, threshold: float = 0.5) -> Column:
         return F.aggregate(F.sort_array(likely), F.array().cast(kept_type), fold)
 
     kinds = [_matches(text, k, len(BASE) + KINDS.index(k.name)) for k in GENERATORS]
-    free = lambda b: F.filter(F.concat(*kinds), lambda c: ~F.exists(b, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return let(let(base, free), lambda c: F.when(F.size(c) > 0, select(c)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,p:double>>")))
+    return let(F.concat(*kinds), lambda c: F.when(F.size(c) > 0, select(c)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,p:double>>")))
 
 
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -257,7 +256,7 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Dat
     named = docs.select(*kept, F.coalesce(docs[text].cast("string"), F.lit("")).alias("__t"))
     plain = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind")))
     # Texts without a digit, an "@", an assignment or a spelt-out sign have nothing to find.
-    both = let(base_spans(F.col("__t")), lambda b: F.struct(plain(b).alias("base"), plain(method_spans(F.col("__t"), b, threshold)).alias("more")))
+    both = F.struct(plain(base_spans(F.col("__t"))).alias("base"), plain(method_spans(F.col("__t"), threshold)).alias("more"))
     out = once(named, "__p", both)
     merged = F.array_sort(F.concat("__p.base", "__p.more"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
     return out.select(*kept, F.col("__p.base").alias("base"), merged.alias("found"))

@@ -244,6 +244,28 @@ def test_pii(spark, odd):
     assert pii.redact(secret).first()["text"] == "x [secret] y [email] 🙂 [secret] the key: hello commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
 
+def spans_of(spark, texts):
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.joined(F.col("found")).alias("f")).collect()
+    return [f.split(",") for _, f in sorted((x["doc_id"], x["f"]) for x in rows)]
+
+
+def redacted(spark, texts):
+    return [x["text"] for x in pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_pii_secrets_around_base_spans(spark):
+    """A card, an address or a dotted quad inside a secret leaves none of its rest."""
+    r = random.Random(11)
+    while True:
+        token = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        if any(12 <= len(m) <= 19 and luhn(m) for m in re.findall("[0-9]+", token)):
+            break
+    texts = [f'x token = "{token}" y', "x api_key=Zq81.10.20.30.40.x7Kd93hQ2 y", "x password=b7db7aa4a5@fcc78305.example y"]
+    found = spans_of(spark, texts)
+    assert [sorted({f.split(":")[0] for f in fs}) for fs in found] == [["card", "secret"], ["ip", "secret"], ["email", "secret"]]
+    assert not any(re.search("[0-9a-f]{5}|Zq81|x7Kd93hQ2", t) for t in redacted(spark, texts))
+
+
 def test_pii_features_agree(spark):
     cases = [('token = "ab12"', "secret", "a token "), ("AKIA1", "secret", "commit: "), ("aaaaaaa 1", "iban", ""), ("123-45-6789", "national_id", "SSN ")]
     made = spark.createDataFrame(cases, "m string, k string, c string").select("m", "k", "c", *[f(F.col("m"), F.col("k"), F.col("c")).cast("double").alias(n) for n, f in pii.FEATURES.items()]).collect()
