@@ -266,6 +266,18 @@ def test_pii_secrets_around_base_spans(spark):
     assert not any(re.search("[0-9a-f]{5}|Zq81|x7Kd93hQ2", t) for t in redacted(spark, texts))
 
 
+def test_pii_long_secrets(spark):
+    """Secrets of any length are found whole."""
+    r = random.Random(12)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    mixed, upper, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    texts = []
+    for n in (150, 201, 360, 5000, 60000):
+        texts += [f'x token="{some(mixed, n)}" y', f"x key K {some(upper[:26], 4)}{some(upper, n)}7 y", f"x secret s {some(hexa, n)}a7 y"]
+    assert [any(f.startswith("secret:") and int(f.split(":")[2]) == len(t) - 2 for f in fs) for t, fs in zip(texts, spans_of(spark, texts), strict=True)] == [True] * len(texts)
+    assert not any(re.search("[0-9A-Za-z+/]{7}", t.replace("[secret]", "")) for t in redacted(spark, texts))
+
+
 def test_pii_features_agree(spark):
     cases = [('token = "ab12"', "secret", "a token "), ("AKIA1", "secret", "commit: "), ("aaaaaaa 1", "iban", ""), ("123-45-6789", "national_id", "SSN ")]
     made = spark.createDataFrame(cases, "m string, k string, c string").select("m", "k", "c", *[f(F.col("m"), F.col("k"), F.col("c")).cast("double").alias(n) for n, f in pii.FEATURES.items()]).collect()
