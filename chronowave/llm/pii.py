@@ -10,8 +10,9 @@ scan; lengths count code points. No generator of open-ended secrets bounds their
 runs of digits or letters cost linear time and no stack.
 
 Defined results: null and empty texts have no spans (the hash of an empty string); overlapping spans of different base kinds
-all stay, and candidates are scored and kept whether they overlap them or not; of overlapping candidates the likelier, then
-longer, then first stays; repeated rows are judged each; an empty table stays empty.
+all stay, and candidates are scored and kept whether they overlap them or not; candidates over
+the threshold are chosen by falling probability (then longer, then first) where they overlap none chosen before, and redaction
+covers the others too; repeated rows are judged each; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ GENERATORS = (
     Kind("spelt_email", r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,64}(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z]{2,12}", r"(?i)[\[(]at[\])]"),
 )
 SPAN = "struct<start:int,end:int,rank:int,kind:string,match:string>"
+SCORED = "struct<start:int,end:int,rank:int,kind:string,p:double>"
 CONTEXT = 24
 
 
@@ -224,8 +226,8 @@ def _tree_column(t: Tree, x: list[Column]) -> Column:
     return F.lit(t.value) if t.left is None else F.when(x[t.feature] <= t.cut, _tree_column(t.left, x)).otherwise(_tree_column(t.right, x))
 
 
-def method_spans(text: Column, threshold: float = 0.5) -> Column:
-    """The selected candidates: no overlap with each other; base spans drop none, as the rest of a secret around one is a secret."""
+def likely_spans(text: Column, threshold: float = 0.5) -> Column:
+    """The candidates that the trees put over the threshold, by start; base spans drop none, as the rest of a secret around one is a secret."""
     model = boosted()
 
     def scored(c: Column) -> Column:
@@ -234,32 +236,54 @@ def method_spans(text: Column, threshold: float = 0.5) -> Column:
         margin = let(features, lambda v: reduce(lambda a, b: a + b, [_tree_column(t, [*[v[n] for n in FEATURES], *[(c["kind"] == k).cast("double") for k in KINDS]]) for t in model.trees]))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rank"].alias("rank"), c["kind"].alias("kind"), (1 / (1 + F.exp(-(margin * model.slope + model.shift)))).alias("p"))
 
-    def select(all_: Column) -> Column:
-        likely = F.filter(F.transform(all_, scored), lambda s: s["p"] >= threshold)
-        kept_type = "array<struct<start:int,end:int,rank:int,kind:string,p:double>>"
+    kinds = [_matches(text, k, len(BASE) + KINDS.index(k.name)) for k in GENERATORS]
+    likely = lambda c: F.sort_array(F.filter(F.transform(c, scored), lambda s: s["p"] >= threshold))
+    return let(F.concat(*kinds), lambda c: F.when(F.size(c) > 0, likely(c)).otherwise(F.array().cast(f"array<{SCORED}>")))
 
-        def fold(acc: Column, s: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            better = (s["p"] > last["p"]) | ((s["p"] == last["p"]) & (s["end"] - s["start"] > last["end"] - last["start"]))
-            return F.when(last.isNull() | (last["end"] <= s["start"]), F.array_append(acc, s)).when(better, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), s)).otherwise(acc).cast(kept_type)
 
-        return F.aggregate(F.sort_array(likely), F.array().cast(kept_type), fold)
+def chosen(likely: Column) -> Column:
+    """Of spans by start, those that overlap none chosen before, by falling probability, then length, then start.
+
+    Spans that overlap in a chain form a group; each is compared with the chosen ones of its own group only.
+    """
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("group"), F.array().cast(f"array<struct<group:int,q:double,n:int,s:{SCORED}>>").alias("out"))
+
+    def grouped(acc: Column, s: Column) -> Column:
+        group = F.when(s["start"] >= acc["end"], acc["group"] + 1).otherwise(acc["group"])
+        row = F.struct(group.alias("group"), (-s["p"]).alias("q"), (s["start"] - s["end"]).alias("n"), s.alias("s"))
+        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), group.alias("group"), F.array_append(acc["out"], row).cast(f"array<struct<group:int,q:double,n:int,s:{SCORED}>>").alias("out"))
+
+    def choose(acc: Column, r: Column) -> Column:
+        s, fresh = r["s"], r["group"] != acc["group"]
+        clash = F.exists(acc["here"], lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+        done = F.when(fresh, F.concat(acc["done"], acc["here"])).otherwise(acc["done"])
+        here = F.when(fresh, F.array(s)).when(clash, acc["here"]).otherwise(F.array_append(acc["here"], s))
+        return F.struct(r["group"].alias("group"), done.cast(f"array<{SCORED}>").alias("done"), here.cast(f"array<{SCORED}>").alias("here"))
+
+    none = F.array().cast(f"array<{SCORED}>")
+    order = F.sort_array(F.aggregate(likely, start, grouped, lambda acc: acc["out"]))
+    kept = F.aggregate(order, F.struct(F.lit(0).alias("group"), none.alias("done"), none.alias("here")), choose, lambda acc: F.concat(acc["done"], acc["here"]))
+    return F.when(F.size(likely) > 1, F.sort_array(kept)).otherwise(likely)
+
+
+def _by_start(*spans: Column) -> Column:
+    return F.array_sort(F.concat(*spans), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
 
-    kinds = [_matches(text, k, len(BASE) + KINDS.index(k.name)) for k in GENERATORS]
-    return let(F.concat(*kinds), lambda c: F.when(F.size(c) > 0, select(c)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,p:double>>")))
+
+def _searched(docs: DataFrame, kept: list[Column], text: str, threshold: float) -> DataFrame:
+    """``kept`` and ``__p``: base spans, all candidates over the threshold and the chosen ones, computed once per row."""
+    named = docs.select(*kept, F.coalesce(docs[text].cast("string"), F.lit("")).alias("__t"))
+    plain = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind")))
+    # Texts without a digit, an "@", an assignment or a spelt-out sign have nothing to find.
+    both = let(likely_spans(F.col("__t"), threshold), lambda c: F.struct(plain(base_spans(F.col("__t"))).alias("base"), plain(c).alias("likely"), plain(chosen(c)).alias("more")))
+    return once(named, "__p", both)
 
 
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``base`` (base spans) and ``found`` (all spans, by start, then kind as listed), computed once per row."""
     own = {"base", "found", "__t", "__p"}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    named = docs.select(*kept, F.coalesce(docs[text].cast("string"), F.lit("")).alias("__t"))
-    plain = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind")))
-    # Texts without a digit, an "@", an assignment or a spelt-out sign have nothing to find.
-    both = F.struct(plain(base_spans(F.col("__t"))).alias("base"), plain(method_spans(F.col("__t"), threshold)).alias("more"))
-    out = once(named, "__p", both)
-    merged = F.array_sort(F.concat("__p.base", "__p.more"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
-    return out.select(*kept, F.col("__p.base").alias("base"), merged.alias("found"))
+    return _searched(docs, kept, text, threshold).select(*kept, F.col("__p.base").alias("base"), _by_start(F.col("__p.base"), F.col("__p.more")).alias("found"))
 
 
 def joined(spans: Column) -> Column:
@@ -267,8 +291,12 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find_pii(docs, text, threshold)
+    """``docs`` with base spans and all candidates over the threshold replaced by their kind in brackets.
+
+    Overlapping spans become one, named by the first.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    found = _searched(docs, kept, text, threshold).select(*kept, _by_start(F.col("__p.base"), F.col("__p.likely")).alias("__found"))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -276,8 +304,8 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
         fresh = F.concat(acc["out"], F.array(t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat_ws("", F.concat(acc["out"], F.array(t.substr(acc["at"] + 1, F.length(t))))))
-    value = F.when(F.size("found") > 0, clean).otherwise(F.col(f"`{text}`"))
+    clean = F.aggregate("__found", start, step, lambda acc: F.concat_ws("", F.concat(acc["out"], F.array(t.substr(acc["at"] + 1, F.length(t))))))
+    value = F.when(F.size("__found") > 0, clean).otherwise(F.col(f"`{text}`"))
     return found.select(*[value.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

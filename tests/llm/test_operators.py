@@ -278,6 +278,31 @@ def test_pii_long_secrets(spark):
     assert not any(re.search("[0-9A-Za-z+/]{7}", t.replace("[secret]", "")) for t in redacted(spark, texts))
 
 
+def test_pii_chosen_spans(spark):
+    """Chains of overlapping candidates, against a greedy choice in Python."""
+    rows = [[(0, 10, 0.6), (8, 20, 0.7), (18, 30, 0.8)], [(0, 10, 0.6), (8, 20, 0.7), (18, 30, 0.7), (30, 31, 0.9)], []]
+    r = random.Random(13)
+    for _ in range(200):
+        starts = sorted(r.sample(range(60), r.randint(1, 14)))
+        rows.append([(a, a + r.randint(1, 14), r.choice((0.5, 0.6, 0.7, 0.9))) for a in starts])
+    docs = spark.createDataFrame([(i, [(a, b, 4, "secret", p) for a, b, p in x]) for i, x in enumerate(rows)], f"id long, spans array<{pii.SCORED}>")
+    got = {x["id"]: [(s["start"], s["end"], s["p"]) for s in x["c"]] for x in docs.select("id", pii.chosen(F.col("spans")).alias("c")).collect()}
+    for i, spans in enumerate(rows):
+        want = []
+        for a, b, p in sorted(spans, key=lambda s: (-s[2], s[0] - s[1], s[0])):
+            if not any(a < d and c < b for c, d, _ in want):
+                want.append((a, b, p))
+        assert got[i] == sorted(want)
+    assert got[0] == [(0, 10, 0.6), (18, 30, 0.8)]
+
+
+def test_pii_redacts_lost_candidates(spark):
+    """What an overlapping likelier candidate leaves over goes too; columns named like results stay."""
+    text = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'
+    docs = spark.createDataFrame([(text, "mine", 1)], "text string, base string, found int")
+    assert [tuple(x) for x in pii.redact(docs).collect()] == [("x [secret] y", "mine", 1)]
+
+
 def test_pii_features_agree(spark):
     cases = [('token = "ab12"', "secret", "a token "), ("AKIA1", "secret", "commit: "), ("aaaaaaa 1", "iban", ""), ("123-45-6789", "national_id", "SSN ")]
     made = spark.createDataFrame(cases, "m string, k string, c string").select("m", "k", "c", *[f(F.col("m"), F.col("k"), F.col("c")).cast("double").alias(n) for n, f in pii.FEATURES.items()]).collect()
