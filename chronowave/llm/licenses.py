@@ -1,9 +1,12 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 Templates are a small fixed table. A template of ``m`` shingles belongs to the scale whose window holds 2 to 4 times as
-many; windows start every half window, so one of them holds the whole passage, with a Jaccard similarity of at least a
-quarter (a half for the longest of a scale). With ``BANDS`` bands of one MinHash each, a passage is missed with a chance of
-at most (3/4)^48 = 1e-6. A document without any template shingle can't match and is left out first, exactly.
+many; windows start every half window, so one of them holds an untouched passage whole, with a Jaccard similarity of at least
+a quarter (a half for the longest of a scale): with ``BANDS`` bands of one MinHash each, it is missed with a chance of at
+most (3/4)^48 = 1e-6. At containment 0.8 the similarity is at least 0.8/4.2, the chance at most 4e-5. Hits are counted over
+the retrieved window and both neighbours, so a passage that edits have stretched up to a window's length counts whole though
+two windows share it; either may retrieve it, by one band with a chance of at least 0.8/6.2 (0.8/3.2 for the longest of a
+scale), so at containment 0.8 it is missed with a chance of at most 1.4e-3 (1e-6). A document without any template shingle can't match and is left out first, exactly.
 
 Everything on the main path is a native expression. Words are lower-cased A-Z, with marks at their edges dropped.
 
@@ -60,7 +63,7 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """key, license, n_shingles (of the template), hits (most in a window) and containment, one row per document and template."""
+    """key, license, n_shingles (of the template), hits (most in a window with its neighbours) and containment, one row per document and template."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
     long_array = lambda xs: F.expr("array(" + ", ".join(f"{x}L" if x > -(1 << 63) else f"({x + 1}L - 1L)" for x in xs) + ")")
@@ -74,11 +77,13 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
         mine = long_array(sorted({h for t in here for h in t["shingles"]}))
         step = max(1, size // 2)
         starts = F.sequence(F.lit(1), F.greatest(F.size("__sh"), F.lit(1)), F.lit(step))
-        windows = base.select("__key", "__row", F.explode(F.filter(F.transform(starts, lambda s: F.array_distinct(F.slice("__sh", s, size))), lambda w: F.arrays_overlap(w, mine))).alias("__w"))
-        banded = once(windows, "__b", let(F.col("__w"), _bands))
+        first = lambda s: F.greatest(s - step, F.lit(1))  # noqa: E731  where the window before starts
+        window = lambda s: F.struct(F.array_distinct(F.slice("__sh", s, size)).alias("w"), F.slice("__sh", first(s), s - first(s) + size + step).alias("near"))
+        windows = base.select("__key", "__row", F.explode(F.filter(F.transform(starts, window), lambda x: F.arrays_overlap(x["w"], mine))).alias("__w"))
+        banded = once(windows, "__b", let(F.col("__w.w"), _bands))
         retrieved = [
             F.when(F.arrays_overlap("__b", long_array(t["bands"])),  # a minimum is hashed with its band's number, so it meets only its own band
-                   F.struct(F.lit(t["name"]).alias("license"), F.lit(len(t["shingles"])).cast("long").alias("n_shingles"), F.size(F.array_intersect("__w", long_array(t["shingles"]))).cast("long").alias("hits")))
+                   F.struct(F.lit(t["name"]).alias("license"), F.lit(len(t["shingles"])).cast("long").alias("n_shingles"), F.size(F.array_intersect("__w.near", long_array(t["shingles"]))).cast("long").alias("hits")))
             for t in here
         ]
         found = banded.select("__key", "__row", F.explode(F.array_compact(F.array(*retrieved))).alias("m")).select("__key", "__row", "m.*")

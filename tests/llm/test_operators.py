@@ -216,6 +216,18 @@ def test_licenses(spark, odd):
     assert licenses.license_scan(odd).count() == 0
 
 
+def test_licenses_edited_inside(spark):
+    """A notice that words in its middle split between two windows, at every offset."""
+    r = random.Random(14)
+    filler = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    notice = licenses.TEMPLATES["Apache-2.0"].split()
+    rows = [(i, " ".join([filler(64 + i), *notice[:32], filler(24), *notice[32:], filler(200)])) for i in range(0, 64, 2)]
+    got = {(x["doc_id"], x["hits"]) for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["license"] == "Apache-2.0"}
+    assert got == {(i, len(notice) - 4 - 4) for i, _ in rows}
+    far = [(0, " ".join([filler(64), *notice[:32], filler(600), *notice[32:], filler(200)]))]
+    assert not [x for x in licenses.license_scan(spark.createDataFrame(far, "doc_id long, text string")).collect() if x["license"] == "Apache-2.0"]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
