@@ -6,7 +6,9 @@ a quarter (a half for the longest of a scale): with ``BANDS`` bands of one MinHa
 most (3/4)^48 = 1e-6. At containment 0.8 the similarity is at least 0.8/4.2, the chance at most 4e-5. Hits are counted over
 the retrieved window and both neighbours, so a passage that edits have stretched up to a window's length counts whole though
 two windows share it; either may retrieve it, by one band with a chance of at least 0.8/6.2 (0.8/3.2 for the longest of a
-scale), so at containment 0.8 it is missed with a chance of at most 1.4e-3 (1e-6). A document without any template shingle can't match and is left out first, exactly.
+scale), so at containment 0.8 it is missed with a chance of at most 1.4e-3 (1e-6). A document
+without any template shingle can't match and is left out first, exactly. A template of fewer than ``SHINGLE`` words
+is one shingle, its whole word sequence, and is looked for exactly, without windows; one without words is an error.
 
 Everything on the main path is a native expression. Words are lower-cased A-Z, with marks at their edges dropped.
 
@@ -43,10 +45,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(bare, SEPARATOR_CLASS + "+"), lambda w: w != "")
 
 
-def _shingles(w: Column) -> Column:
+def _grams(w: Column, k: int) -> Column:
     """Hashes of the k-word shingles, in order; a text of fewer words has none."""
-    n = F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0))
-    return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, SHINGLE)])), F.lit(1), n)
+    n = F.greatest(F.size(w) - (k - 1), F.lit(0))
+    return F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])), F.lit(1), n)
+
+
+def _shingles(w: Column) -> Column:
+    return _grams(w, SHINGLE)
 
 
 def _bands(shingles: Column) -> Column:
@@ -55,17 +61,30 @@ def _bands(shingles: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> list[dict]:
-    """Name, distinct shingle hashes, bands and window of each template that has a shingle (a bounded driver-side table)."""
+    """Name, k, distinct shingle hashes, bands and window of each template (a bounded driver-side table)."""
     rows = spark.createDataFrame(list((templates or TEMPLATES).items()), "name string, text string")
-    made = rows.select("name", let(let(_words(F.col("text")), _shingles), F.array_distinct).alias("shingles"))
-    found = made.select("name", "shingles", let(F.col("shingles"), _bands).alias("bands")).where(F.size("shingles") > 0).collect()
+    made = rows.select("name", _words(F.col("text")).alias("w")).select("name", F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w")
+    whole = lambda w: F.coalesce(*[F.when(F.size(w) == k, _grams(w, k)) for k in range(1, SHINGLE)], _shingles(w))
+    found = made.select("name", "k", let(let(F.col("w"), whole), F.array_distinct).alias("shingles")).select("*", let(F.col("shingles"), _bands).alias("bands")).collect()
+    if empty := [r["name"] for r in found if not r["k"]]:
+        raise ValueError(f"license templates without words: {empty}")
     return [{**r.asDict(), "window": 4 << (len(r["shingles"]) - 1).bit_length() - 1 if len(r["shingles"]) > 1 else 2} for r in found]
 
 
+def _short_matches(docs: DataFrame, key: str, text: str, short: list[dict]) -> DataFrame:
+    """The result rows of templates that are one shingle of fewer than ``SHINGLE`` words: each document that holds it."""
+    held = lambda w, t: F.array_contains(_grams(w, t["k"]), F.lit(t["shingles"][0]).cast("long"))
+    names = let(_words(docs[text]), lambda w: F.array_compact(F.array(*[F.when(held(w, t), F.lit(t["name"])) for t in short])))
+    return docs.select(docs[key].alias(key), F.explode(names).alias("license")).select(key, "license", F.lit(1).cast("long").alias("n_shingles"), F.lit(1).cast("long").alias("hits"), F.lit(1.0).alias("containment"))
+
+
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """key, license, n_shingles (of the template), hits (most in a window with its neighbours) and containment, one row per document and template."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
+    if short := [t for t in known if t["k"] < SHINGLE]:
+        found, rest = _short_matches(docs, key, text, short), {t["name"]: (templates or TEMPLATES)[t["name"]] for t in known if t["k"] == SHINGLE}
+        return found.unionByName(license_scan(docs, key, text, rest, threshold)) if rest else found
     long_array = lambda xs: F.expr("array(" + ", ".join(f"{x}L" if x > -(1 << 63) else f"({x + 1}L - 1L)" for x in xs) + ")")
     every = long_array(sorted({h for t in known for h in t["shingles"]}))
     base = once(docs.select(docs[key].alias("__key"), docs[text].alias("__text")), "__sh", let(_words(F.col("__text")), _shingles)).drop("__text")
@@ -88,8 +107,6 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
         ]
         found = banded.select("__key", "__row", F.explode(F.array_compact(F.array(*retrieved))).alias("m")).select("__key", "__row", "m.*")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.select(docs[key].alias(key)).limit(0).selectExpr(key, "'' AS license", "0L AS n_shingles", "0L AS hits", "0D AS containment")
     best = out.where(F.col("hits") >= F.ceil(F.col("n_shingles") * threshold - 1e-9)).groupBy("__key", "__row", "license", "n_shingles").agg(F.max("hits").alias("hits"))
     return best.select(F.col("__key").alias(key), "license", "n_shingles", "hits", (F.col("hits") / F.col("n_shingles")).alias("containment"))
 

@@ -228,6 +228,19 @@ def test_licenses_edited_inside(spark):
     assert not [x for x in licenses.license_scan(spark.createDataFrame(far, "doc_id long, text string")).collect() if x["license"] == "Apache-2.0"]
 
 
+def test_licenses_of_few_words(spark):
+    """Templates shorter than a shingle are found by their whole word sequence; one without words is an error."""
+    few = {"MIT-tag": "SPDX-License-Identifier: MIT", "WTFPL": "WTFPL", "four": "All rights are reserved.", "BSD": licenses.TEMPLATES["BSD"]}
+    rows = [(1, "x\n# spdx-license-identifier: MIT\ny"), (2, "SPDX-License-Identifier: Apache MIT"), (3, "(WTFPL)"), (4, "all rights are not reserved"), (5, "All rights\nare reserved, " + few["BSD"]), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = lambda t: sorted(tuple(x) for x in licenses.license_scan(docs, templates=t).collect())
+    n = len(few["BSD"].split()) - 4
+    assert scan(few) == [(1, "MIT-tag", 1, 1, 1.0), (3, "WTFPL", 1, 1, 1.0), (5, "BSD", n, n, 1.0), (5, "four", 1, 1, 1.0)]
+    assert scan({"WTFPL": "WTFPL"}) == [(3, "WTFPL", 1, 1, 1.0)]
+    with pytest.raises(ValueError):
+        licenses.license_scan(docs, templates={"none": " . "})
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
