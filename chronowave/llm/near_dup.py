@@ -4,44 +4,52 @@ Texts are sets of word shingles. Two sets with Jaccard >= t share a token in the
 (a prefix holds the first ``n - ceil(t n) + 1`` tokens). Orders here put frequent tokens last and break ties by a different
 mixing of the token's hash. Candidates share a prefix token under the first order. Under the second and third, prefixes are
 longer by as much again, and similar sets then share ``n - ceil(t n) + 1`` tokens of each: only pairs that pass all orders are
-verified on whole sets. Prefixes, and then sets, are made again from the texts of the documents concerned alone.
+verified on whole sets. For that the texts of the documents concerned, and no others, are brought together, each once for a
+whole component of candidate pairs, and split again there.
 
 Postings carry their token's position in the prefix. At the first token that two sets share, nothing before it is common, so
-``min(n_a - i, n_b - j)`` bounds the intersection; a pair must pass this bound at some shared token. The smaller set of a pair
-passes it in an even shorter prefix (``small``), so a list without such postings gives no pairs: texts that are mostly one
-common passage, and too different all the same, are never paired.
+``min(n_a - i, n_b - j)`` bounds the intersection; a pair must pass this bound at some shared token. A bitmap of each set
+(``64 * WORDS`` bits, one per token by hash) bounds the intersection again: every bit of A that B lacks is a token of A that B
+lacks. It is looked up for the sets of candidate pairs alone. Both bounds only drop pairs that can't be similar.
 
-A bitmap of each set (``64 * WORDS`` bits, one per token by hash) bounds the intersection again: every bit of A that B lacks is
-a token of A that B lacks. It drops pairs before prefixes move, and in lists of more than ``LONG_LIST`` sets before pairs are
-made (a shorter list gives at most ``LONG_LIST`` pairs a member). Both bounds only drop pairs that can't be similar.
-
-Equal sets are one node, so copies never make pairs. A posting list first gives a star (every node with the one whose token
-comes earliest), a number of pairs linear in the list. Verified stars are joined to components, and only lists that still hold
-several components give further pairs: those between different components, of which one is never the list's largest. Every pair
-that passes the bound is thus tested or already connected, so components are exact.
+Equal sets are one node, so copies never make pairs. Postings are shuffled once, sorted by token. The task that reads a list
+makes a star (every set with the one whose token comes earliest), a number of pairs linear in the list, and writes out, of
+lists with further pairs that the bound allows, the members of these pairs. Verified stars are joined to components. Members
+then pair across components: in lists of at most ``LONG_LIST`` sets at once, in longer ones by blocks of about ``BLOCK``
+sets that lie outside the list's largest component against blocks of the whole list, with the bitmaps, so that no list is one
+task's work. Every pair that passes the bounds is thus tested or already connected, so components are exact.
 
 Frequent tokens are counted over all texts: tokens found in ``LOCAL`` documents or more of a run of texts are summed over the
 corpus, and the ``HEAVY`` most frequent ones form a table of fixed size. Any table gives right results; it only orders.
 Tokens and sets are told apart by 64-bit hashes.
 
-Defined results: null, empty and wordless texts have no shingles, stay alone, and have their own id; equal ids are one
-document; ties of the similarity with the threshold link; an empty table stays empty; extra columns are ignored.
+Joins on a pair's end may meet a hub that many pairs share; they are plain shuffled joins, whose large partitions adaptive
+execution splits.
+
+Defined results: null, empty and wordless texts have no shingles, stay alone, and have their own id; a null id takes part and
+never names a component that has another; ties of the similarity with the threshold link; an empty table stays empty; extra
+columns are ignored. Rows of one id may hold different texts: each row is judged by its own text. ``keep_one`` keeps one row
+of each component, that with the least id (of rows with this id one, by a hash of the text), and every row without shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import bit_table, drop_tables, in_table, table, without, written
+from .common import bit_table, drop_tables, in_table, table, written
 
 LOCAL, HEAVY, SALT_FROM, SALTS = 4, 1 << 16, 200, 16
-WORDS, LONG_LIST = 16, 256
+WORDS, LONG_LIST, BLOCK, CELL = 16, 256, 1024, 1 << 20
 BITMAP = [f"s{i}" for i in range(WORDS)]
+NAMES = ["kind", "key", "h", "id", "n", *BITMAP]
+#: Characters of texts in work at once, and set ids that a task remembers so as not to post a copy again; both only bound memory.
+GROUP_CHARS, SEEN = 2_000_000, 200_000
 #: Odd multipliers that make the three orders (arbitrary fixed values).
 MIXERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -74,14 +82,20 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def prefix(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int, num: int, den: int, share: bool = False) -> np.ndarray:
-    """The tokens of a set's prefix under an order; with ``share``, of the longer prefix."""
-    n = len(hashes)
-    length = n - -(-num * n // den) + 1
-    length = 2 * length - 1 if share else length
+def share(n: int, num: int, den: int) -> int:
+    """The length of the prefix of a set of ``n`` tokens."""
+    return n - -(-num * n // den) + 1
+
+
+def ordered(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """The tokens of a set under an order."""
     with np.errstate(over="ignore"):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * MIXERS[order]
-    return hashes[np.lexsort((mixed ^ (mixed >> np.uint64(32)), frequency(hashes, heavy)))[:length]]
+    return hashes[np.lexsort((mixed ^ (mixed >> np.uint64(32)), frequency(hashes, heavy)))]
+
+
+def prefix(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], order: int, num: int, den: int) -> np.ndarray:
+    return ordered(hashes, heavy, order)[: share(len(hashes), num, den)]
 
 
 def frequency(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -92,28 +106,31 @@ def frequency(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.where(tokens[at] == hashes, counts[at], 0)
 
 
-def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (kind 0: key, set id, size, bitmap) of documents and (kind 1: token, count) of frequent tokens."""
+def _survey(source: DataFrame, k: int) -> DataFrame:
+    """Rows (kind 0: key, row hash, set id, size, bitmap) of documents and (kind 1: token, count) of frequent tokens."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_groups(texts):
+            keys, hashes, texts = (batch.column(c) for c in range(3))
+            texts = texts.to_pylist()
+            for a, b in text_groups(texts, GROUP_CHARS):
                 sets = [shingles(t, k) for t in texts[a:b]]
                 ids = [set_id(s) if len(s) else None for s in sets]
                 token, count = np.unique(np.concatenate([*{i: s for i, s in zip(ids, sets, strict=True) if i is not None}.values(), np.zeros(0, np.uint64)]), return_counts=True)
                 often = count >= LOCAL
                 token, count = token[often].view(np.int64), count[often]
-                m = len(token)
-                bits = np.zeros((b - a + m, WORDS), np.int64)
+                bits = np.zeros((b - a, WORDS), np.int64)
                 for i, x in enumerate(sets):
                     bits[i] = bitmap(x)
-                columns = [pa.array([0] * (b - a) + [1] * m, pa.int32()), pa.array(keys[a:b] + [None] * m, pa.int64()), pa.array(ids + token.tolist(), pa.int64()), pa.array([len(s) for s in sets] + count.tolist(), pa.int64())]
-                yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], ["kind", "key", "id", "n", *BITMAP])
+                rows = [pa.array(np.zeros(b - a, np.int32)), keys[a:b], hashes[a:b], pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+                yield pa.record_batch([*rows, *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], NAMES)
+                m = len(token)
+                none = pa.nulls(m, pa.int64())
+                yield pa.record_batch([pa.array(np.ones(m, np.int32)), none, none, pa.array(token), pa.array(count), *[none] * WORDS], NAMES)
 
-    return docs.mapInArrow(run, "kind int, key long, id long, n long" + "".join(f", {c} long" for c in BITMAP))
+    return source.select("key", "h", "text").mapInArrow(run, "kind int, key long, h long, id long, n long" + "".join(f", {c} long" for c in BITMAP))
 
 
 def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
@@ -126,13 +143,13 @@ def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in text_groups(texts):
+            for a, b in text_groups(texts, GROUP_CHARS):
                 tokens, salts, ids, sizes, places = ([np.zeros(0, x)] for x in (np.int64, np.int32, np.int64, np.int32, np.int32))
                 for t in texts[a:b]:
                     s = shingles(t, k)
                     if not len(s) or (i := set_id(s)) in seen:
                         continue
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(i)
                     p = prefix(s, known, 0, num, den)
                     tokens.append(p.view(np.int64))
@@ -145,94 +162,247 @@ def _postings(docs: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, salt int, id long, n int, pos int")
 
 
-def _shared(postings: DataFrame, heavy) -> DataFrame:
-    """The postings of tokens that several sets have (and all of salted tokens), each once.
+def fits(n, pos, m, at, num: int, den: int):
+    """The bound by positions, for numbers, arrays or columns: the sets may be similar if this is the first token they share."""
+    return np.minimum(n - pos, m - at) * (num + den) >= (n + m) * num
 
-    Lists are dealt by (token, salt) and sorted there; a task holds a list only while it passes.
-    """
+
+def _by_length(m: np.ndarray, starts: np.ndarray, cells: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Positions of the members of lists of equal length, as blocks (lists, length), with about ``cells`` pairs in a block."""
+    for length in np.unique(m):
+        at = starts[m == length]
+        step = max(1, cells // int(length * length))
+        for a in range(0, len(at), step):
+            yield at[a : a + step, None] + np.arange(length)
+
+
+def _whole_lists(batches: Iterator, names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The numpy columns of batches sorted by their first column, regrouped so that no list is cut."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on
+        if held and (cut or held[0][0][0] != now[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in now]
+        held.append([c[cut:] for c in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _lists(postings: DataFrame, heavy, num: int, den: int) -> DataFrame:
+    """The postings that give pairs: ``hub`` names the other end of a star's pair; ``more`` is 1 where the set has further
+    partners in a short list, 2 in a long or salted one."""
+
+    def emit(token: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, known):
+        import pyarrow as pa
+
+        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])))  # several tasks may post a set
+        token, ids, n, pos = token[fresh], ids[fresh], n[fresh].astype(np.int64), pos[fresh].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        m = np.diff(np.append(starts, len(token)))
+        of = np.repeat(np.arange(len(m)), m)
+        first = np.lexsort((ids, pos * 20 // n, of))[starts]
+        hub = first[of]
+        own = hub == np.arange(len(ids))
+        star = ~own & fits(n, pos, n[hub], pos[hub], num, den)
+        salted = frequency(token[starts].view(np.uint64), known) >= SALT_FROM
+        more = np.where(np.repeat(salted | (m > LONG_LIST), m), 2, 0).astype(np.int32)
+        short = ~salted & (m > 2) & (m <= LONG_LIST)
+        for at in _by_length(m[short], starts[short]):
+            pairs = fits(n[at][:, :, None], pos[at][:, :, None], n[at][:, None, :], pos[at][:, None, :], num, den)
+            pairs &= ~(own[at][:, :, None] | own[at][:, None, :] | np.eye(at.shape[1], dtype=bool))
+            more[at] = pairs.any(2)
+        keep = star | (more > 0)
+        columns = [pa.array(token[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(pos[keep]), pa.array(ids[hub][keep], mask=~star[keep]), pa.array(more[keep])]
+        return pa.record_batch(columns, ["token", "id", "n", "pos", "hub", "more"])
 
     def run(batches: Iterator) -> Iterator:
+        for columns in _whole_lists(batches, ("token", "id", "n", "pos")):
+            yield emit(*columns, heavy.value)
+
+    dealt = postings.repartition(_partitions(postings), "token", "salt").sortWithinPartitions("token", "id")
+    return dealt.select("token", "id", "n", "pos").mapInArrow(run, "token long, id long, n long, pos long, hub long, more int")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_order(a: np.ndarray, b: np.ndarray):
+    """Distinct pairs, the lesser id first."""
+    import pyarrow as pa
+
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _short_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components in short lists (token, root, id, n, pos) that the bound allows."""
+
+    def run(batches: Iterator) -> Iterator:
+        for token, root, ids, n, pos in _whole_lists(batches, ("token", "root", "id", "n", "pos")):
+            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            m = np.diff(np.append(starts, len(token)))
+            several = m > 1
+            for at in _by_length(m[several], starts[several]):
+                pairs = fits(n[at][:, :, None], pos[at][:, :, None], n[at][:, None, :], pos[at][:, None, :], num, den) & (root[at][:, :, None] < root[at][:, None, :])
+                x, y, z = np.nonzero(pairs)
+                if len(x):
+                    yield _in_order(ids[at][x, y], ids[at][x, z])
+
+    dealt = placed.repartition(_partitions(placed), "token").sortWithinPartitions("token")
+    return dealt.select("token", "root", "id", "n", "pos").mapInArrow(run, "a long, b long")
+
+
+def _long_pairs(placed: DataFrame, survey: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of different components in long lists that both bounds allow, by blocks: sets outside the list's largest
+    component against all sets."""
+    cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+    sizes = cells.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most")).where("m > most")
+    blocks = sizes.select("token", "main", F.expr(f"(m - most + {BLOCK - 1}) div {BLOCK}").alias("us"), F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("vs"))
+    found = written(placed.join(blocks, "token"), "long-lists")
+    drawn = found.join(_drawn(survey, found.select("id")).drop("n"), "id")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["root", "id", "n", "pos", *BITMAP]
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in columns]
+    u = drawn.where("root <> main").select(F.col("token").alias("u_token"), F.pmod(F.xxhash64("id"), "us").alias("u_i"), every("vs").alias("u_j"), *named("u"))
+    v = drawn.select(F.col("token").alias("v_token"), every("us").alias("v_i"), F.pmod(F.xxhash64("id"), "vs").alias("v_j"), (F.col("root") == F.col("main")).alias("inner"), *named("v"))
+
+    def run(left, right):
         import pyarrow as pa
 
-        tokens, counts = heavy.value
+        x, y = ({c: t.column(f"{side}_{c}").to_numpy() for c in columns} for side, t in (("u", left), ("v", right)))
+        inner = right.column("inner").to_numpy()
+        may = fits(x["n"][:, None], x["pos"][:, None], y["n"][None], y["pos"][None], num, den)
+        i, j = np.nonzero(may & (x["root"][:, None] != y["root"][None]) & (inner[None] | (x["id"][:, None] < y["id"][None])))
+        bits = [[s[c].view(np.uint64) for c in BITMAP] for s in (x, y)]  # of a signed number the bits of its absolute value would count
+        out, alone = [], [s["n"] - sum(np.bitwise_count(w).astype(np.int64) for w in b) for s, b in zip((x, y), bits, strict=True)]
+        for a in range(0, len(i), 1 << 16):
+            p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+            both = sum(np.bitwise_count(v[p] & w[q]).astype(np.int64) for v, w in zip(*bits, strict=True))
+            good = np.minimum(alone[0][p] + both, alone[1][q] + both) * (num + den) >= (x["n"][p] + y["n"][q]) * num
+            out.append(_in_order(x["id"][p[good]], y["id"][q[good]]))
+        return pa.Table.from_batches(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    cell = lambda x: [f"{x}_{c}" for c in ("token", "i", "j")]
+    return u.groupBy(*cell("u")).cogroup(v.groupBy(*cell("v"))).applyInArrow(run, "a long, b long"), found
 
-        def emit(x: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray):
-            fresh = np.concatenate(([True], (x[1:] != x[:-1]) | (ids[1:] != ids[:-1]))) if len(x) else np.zeros(0, bool)
-            x, ids, n, pos = x[fresh], ids[fresh], n[fresh], pos[fresh]
-            same = np.concatenate(([False], x[1:] == x[:-1])) if len(x) else np.zeros(0, bool)
-            several = same | np.append(same[1:], False) if len(x) else same
-            keep = several | (frequency(x.view(np.uint64), (tokens, counts)) >= SALT_FROM)
-            return pa.record_batch([pa.array(x[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(pos[keep])], ["token", "id", "n", "pos"])
 
-        held = [np.zeros(0, x) for x in (np.int64, np.int64, np.int32, np.int32)]
+def _drawn(survey: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n and bitmap of the sets whose id is in the one column of ``ids`` (and of a few others), one row a set."""
+    bits = bit_table(ids, ids.columns[0])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("token", "id", "n", "pos"), strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on
-            held = [c[cut:] for c in now]
-            yield emit(*(c[:cut] for c in now))
-        yield emit(*held)
+            yield batch.filter(pa.array(in_table(bits.value, batch.column(0).to_numpy())))
 
-    dealt = postings.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token", "salt")
-    return dealt.sortWithinPartitions("token", "id").select("token", "id", "n", "pos").mapInArrow(run, "token long, id long, n int, pos int")
+    rows = survey.where("kind = 0 AND id IS NOT NULL").select("id", "n", *BITMAP)
+    return rows.mapInArrow(run, rows.schema).dropDuplicates(["id"])
 
 
-def _wanted(docs: DataFrame, bits, make, schema: str) -> DataFrame:
-    """``make(set)`` of the sets whose least document the bit table may hold; other texts aren't even split.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
-    A false hit gives a row that no pair asks for.
-    """
+
+def _sifted(pairs: DataFrame, survey: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the bound by bitmaps allows, with sizes."""
+    drawn = _drawn(survey, _ends(pairs))
+    side = lambda x: drawn.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *BITMAP)])
+    both = lambda of: sum((F.bit_count(of(F.col(f"a_{c}"), F.col(f"b_{c}"))) for c in BITMAP), F.lit(0))
+    a_alone, b_alone = both(lambda p, q: p.bitwiseAND(F.bitwise_not(q))), both(lambda p, q: q.bitwiseAND(F.bitwise_not(p)))
+    alike = F.least(F.col("a_n") - a_alone, F.col("b_n") - b_alone) * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b", "a_n", "b_n")
+
+
+def _texts(source: DataFrame, hashes: DataFrame) -> DataFrame:
+    """h and text of the rows whose hash is in ``hashes.h`` (and of a few others), repeated rows once per task."""
+    bits = bit_table(hashes, "h")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
-            rows = []
-            hit = in_table(bits.value, batch.column(1).to_numpy())
-            for text in batch.column(0).filter(pa.array(hit)).to_pylist():
-                s = make[0](text)
-                if len(s) and (i := set_id(s)) not in seen:
-                    seen.add(i)
-                    rows.append((i, len(s), *make[1](s)))
-                if sum(len(r[-1]) for r in rows[-1:]) > 100_000 or len(rows) >= 1000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
-
-    def _batch(rows: list):
-        import pyarrow as pa
+            h = batch.column(0).to_numpy()
+            hit = in_table(bits.value, h)
+            for i in np.flatnonzero(hit):
+                hit[i] = h[i] not in seen
+                if len(seen) < SEEN:
+                    seen.add(h[i])
+            yield batch.filter(pa.array(hit))
 
-        cols = list(zip(*rows, strict=True)) or [()] * (2 + schema.count("array"))
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(list(c), pa.list_(pa.int64())) for c in cols[2:]]], names)
+    return source.select("h", "text").mapInArrow(run, "h long, text string")
 
-    return docs.mapInArrow(run, schema)
+
+class _Set:
+    """A set's tokens, and its longer prefixes under the second and third order, each sorted."""
+
+    def __init__(self, tokens: np.ndarray, heavy, num: int, den: int):
+        self.tokens, self.share = tokens, share(len(tokens), num, den)
+        self.longer = [np.sort(ordered(tokens, heavy, o)[: 2 * self.share - 1]) for o in (1, 2)]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def similar(x: _Set, y: _Set, num: int, den: int) -> bool:
+    """The filters of the second and third order, and then the exact test."""
+    least = min(x.share, y.share)
+    if any(_common(p, q) < least for p, q in zip(x.longer, y.longer, strict=True)):
+        return False
+    both = _common(x.tokens, y.tokens)
+    return both * den >= (len(x.tokens) + len(y.tokens) - both) * num
 
 
 def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that pass the other orders, then the exact test."""
-    hashed = source.select("text", F.xxhash64("key").alias("h"))
-    split = lambda text: shingles(text, k)
-    longer = lambda s: [prefix(s, heavy.value, o, num, den, True).view(np.int64) for o in (1, 2)]
-    side = lambda sets, name, *cols: sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cols])
-
-    def bits(of: DataFrame):
-        ends = of.select(F.col("a").alias("id")).union(of.select("b")).distinct()
-        return bit_table(ends.join(nodes, "id").select(F.xxhash64("least").alias("h")), "h")
-
-    prefixes = written(_wanted(hashed, bits(pairs), (split, longer), "id long, n long, p1 array<long>, p2 array<long>"), "prefixes")
-    share = lambda n: F.col(n) - F.expr(f"({n} * {num} + {den - 1}) div {den}") + 1
-    least = F.least(share("a_n"), share("b_n"))
-    both = (F.size(F.array_intersect("a_p1", "b_p1")) >= least) & (F.size(F.array_intersect("a_p2", "b_p2")) >= least)
-    passed = pairs.join(side(prefixes, "b", "n", "p1", "p2"), "b").join(side(prefixes, "a", "n", "p1", "p2"), "a").where(both).select("a", "b").distinct()
-    passed = written(passed, "passed")
-    sets = written(_wanted(hashed, bits(passed), (split, lambda s: [s.view(np.int64)]), "id long, n long, tokens array<long>"), "sets")
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    exact = common * den >= (F.size("a_tokens") + F.size("b_tokens") - common) * num
-    links = written(passed.join(side(sets, "b", "tokens"), "b").join(side(sets, "a", "tokens"), "a").where(exact).select("a", "b").distinct(), "links")
-    drop_tables(prefixes, passed, sets)
+    """The pairs (a, b, a_n, b_n) that pass the other orders and then the exact test.
+
+    Pairs are dealt by the component of candidates that they belong to, and the texts of a component's sets go there once each;
+    a component of more than ``CELL`` tokens is cut into blocks, and its texts go to the pairs of blocks where they are needed.
+    """
+    placed = components(pairs)
+    ends = pairs.select(F.col("a").alias("id"), F.col("a_n").alias("n")).union(pairs.select("b", "b_n")).distinct()
+    large = ends.join(placed, "id").groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
+    blocks = F.coalesce(F.expr(f"(n + {CELL - 1}) div {CELL}"), F.lit(1).cast("long"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    dealt = pairs.select("a", "b").join(placed.select(F.col("id").alias("a"), "root"), "a").join(large, "root", "left").withColumn("blocks", blocks)
+    cells = written(dealt.select("root", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b"), "cells")
+    cell = ["root", "i", "j"]
+    members = cells.select(F.col("a").alias("id"), *cell).union(cells.select("b", *cell)).distinct().join(nodes.select("id", "least.h"), "id")
+    members = written(members, "members")
+    none = F.lit(None).cast("long")
+    texts = _texts(source, members).join(members, "h").select(*cell, F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), "text")
+    both = texts.unionByName(cells.select(*cell, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        here, sets = None, {}
+        for batch in batches:
+            found = []
+            for *at, kind, a, b, text in zip(*[batch.column(c).to_pylist() for c in range(batch.num_columns)], strict=True):
+                if at != here:
+                    here, sets = at, {}
+                if kind == 0:
+                    if a not in sets:
+                        sets[a] = _Set(shingles(text, k), heavy.value, num, den)
+                elif similar(sets[a], sets[b], num, den):
+                    found.append((a, b))
+            x, y = zip(*found, strict=True) if found else ((), ())
+            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    links = written(both.repartition(_partitions(both), *cell).sortWithinPartitions(*cell, "kind").mapInArrow(run, "a long, b long"), "links")
+    drop_tables(placed, cells, members)
     return links
 
 
@@ -255,84 +425,82 @@ def components(edges: DataFrame) -> DataFrame:
         labels = following
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """key, n_shingles and component_id (the least key of the documents reachable by links) of every row of ``docs``.
-
-    Two documents link when ``den * |intersection| >= num * |union|``.
-    """
+def classes(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> DataFrame:
+    """key, h (a hash of key and text), n and ``least`` (key and h of the first row of the component; null without shingles)
+    of every row, as a written table."""
     spark = docs.sparkSession
-    source = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
+    source = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).withColumn("h", F.xxhash64("key", "text"))
     survey = written(_survey(source, k), "survey")
-    rows = survey.where("kind = 0").select("key", "id", "n")
+    rows = survey.where("kind = 0").select("key", "h", "id", "n")
     top = survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HEAVY).toPandas()  # HEAVY rows at most
     order = np.argsort(top["id"].to_numpy(np.int64).view(np.uint64))
     heavy = spark.sparkContext.broadcast((top["id"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]))
-    nodes = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("key").alias("least"))
-
-    shared = written(_shared(_postings(source.select("text"), heavy, k, num, den), heavy), "shared")
-    whole = F.lit(num + den).cast("long")
-    fits = lambda x, y: F.least(x["n"] - x["pos"], y["n"] - y["pos"]) * whole >= (x["n"] + y["n"]).cast("long") * num  # noqa: E731  the bound at this token
-    hub = F.min(F.struct(F.expr("pos * 20L div n").alias("depth"), "id", "n", "pos")).alias("hub")
-    stars = shared.join(shared.groupBy("token").agg(hub), "token").where((F.col("id") != F.col("hub.id")) & fits({"n": F.col("n"), "pos": F.col("pos")}, F.col("hub")))
-    sketches = written(survey.where("kind = 0 AND id IS NOT NULL").dropDuplicates(["id"]).select("id", "n", *BITMAP), "sketches")
-
-    def alike(x: str, y: str) -> Column:
-        """The bound by the bitmaps in columns that start with ``x`` and ``y``."""
-        both = lambda of: sum((F.bit_count(of(F.col(f"{x}_{c}"), F.col(f"{y}_{c}"))) for c in BITMAP), F.lit(0))
-        x_alone, y_alone = both(lambda p, q: p.bitwiseAND(F.bitwise_not(q))), both(lambda p, q: q.bitwiseAND(F.bitwise_not(p)))
-        n, m = F.col(f"{x}_n").cast("long"), F.col(f"{y}_n").cast("long")
-        return F.least(n - x_alone, m - y_alone) * whole >= (n + m) * num
-
-    def drawn(name: str, key: str) -> DataFrame:
-        return sketches.select(F.col("id").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *BITMAP)])
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        return pairs.join(drawn("b", "b"), "b").join(drawn("a", "a"), "a").where(alike("a", "b")).select("a", "b")
-
-    stars = written(sifted(stars.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()), "stars")
+    first_row = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "h")).alias("least")
+    nodes = written(rows.where("id IS NOT NULL").groupBy("id").agg(first_row), "nodes")
 
+    lists = written(_lists(_postings(source.select("text"), heavy, k, num, den), heavy, num, den), "lists")
+    pairs = lists.where("hub IS NOT NULL").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    stars = written(_sifted(pairs, survey, num, den), "stars")
     linked = _verified(stars, source, nodes, heavy, k, num, den)
     first = components(linked)
-    # Lists with several components left: pairs between components, one side outside the list's largest.
-    placed = shared.join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", F.col("n").alias("size"), "pos", ((F.col("n") - F.col("pos")) * whole >= F.col("n").cast("long") * 2 * num).alias("small"))
-    cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("small"))
-    open_lists = cells.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max("small").alias("any"), F.sum("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("main"))
-    left_over = written(placed.join(open_lists.where("roots > 1 AND any").select("token", "main", (F.col("m") > LONG_LIST).alias("long")), "token"), "open")
-
-    def side(name: str, of: str, long: bool) -> DataFrame:
-        found = left_over.where(of).where(F.col("long") == long).select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "root", "size", "pos")])
-        return found.join(drawn(name, f"{name}_id"), f"{name}_id") if long else found
-
-    def across(less: str, more: str, long: bool) -> DataFrame:
-        """Pairs of a smaller and a larger set that the bounds allow."""
-        x, y = ({"n": F.col(f"{c}_size"), "pos": F.col(f"{c}_pos")} for c in "xy")
-        bounds = fits(x, y) & alike("x", "y") if long else fits(x, y)
-        found = side("x", f"small AND {less}", long).join(side("y", more, long), "token").where("x_root <> y_root AND x_size <= y_size").where(bounds)
-        return found.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-
-    short = across("true", "true", False).distinct()
-    long = across("root <> main", "true", True).union(across("root = main", "root <> main", True))  # the largest is never paired with itself
-    cross = sifted(short).union(long).distinct()
-    cross = written(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    drop_tables(shared, stars, sketches, left_over)
-    final = first
+
+    # Lists with several components left.
+    placed = lists.where("more > 0").join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "n", "pos", "more")
+    placed = written(placed, "placed")
+    long, long_lists = _long_pairs(placed.where("more = 2").drop("more"), survey, num, den)
+    cross = written(_short_pairs(placed.where("more = 1"), num, den).union(long).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+    drop_tables(lists, placed, long_lists)
+    final, used = first, [pairs, stars, cross]
     if not cross.isEmpty():
-        more = _verified(cross, source, nodes, heavy, k, num, den)
+        cross_sifted = written(_sifted(cross, survey, num, den), "cross-sifted")
+        more = _verified(cross_sifted, source, nodes, heavy, k, num, den)
+        used += [cross_sifted, more]
         if not more.isEmpty():
             final = components(linked.union(more))
-        drop_tables(more)
-    drop_tables(cross, linked)
+    drop_tables(*used, linked)
 
     named = nodes.join(final, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.join(lowest, "root").select("id", "component_id")
-    return rows.join(answer, "id", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("least"))
+    answer = named.select("id", "root").join(lowest, "root").select("id", "least")
+    out = written(rows.join(answer, "id", "left").select("key", "h", "n", "least"), "classes")
+    drop_tables(survey, nodes)
+    return out
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """key, n_shingles and component_id (the least key of the documents reachable by links) of every row of ``docs``.
+
+    Two documents link when ``den * |intersection| >= num * |union|``.
+    """
+    return classes(docs, key, text, k, num, den).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least.key", "key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without the documents that reach a smaller key by links."""
-    found = ngram_components(docs, key, text, k, num, den)
-    return without(docs, key, found.where(F.col("component_id") != F.col(key)).select(key))
+    """The rows of ``docs`` without shingles, and of each component the first row.
+
+    Rows are told by a hash of id and text. Those that a bit table of the hashes that go or repeat clears are kept where they
+    are; the others alone are shuffled to an exact join.
+    """
+    found = classes(docs, key, text, k, num, den)
+    judged = found.where("least IS NOT NULL").groupBy("h").agg(F.max(F.col("h") != F.col("least.h")).alias("gone"), F.count(F.lit(1)).alias("times"))
+    judged = written(judged.where("gone OR times > 1").select(F.col("h").alias("__h2"), "gone"), "judged")
+    drop_tables(found)
+    bits = bit_table(judged, "__h2")
+    marked = docs.select("*", F.xxhash64(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("__h"))
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array(in_table(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == hit))
+
+        return marked.mapInArrow(run, marked.schema)
+
+    doubtful = part(True).join(judged, F.col("__h") == F.col("__h2"), "left")
+    sure, again = doubtful.where("gone IS NULL"), doubtful.where("NOT gone").dropDuplicates(["__h"])
+    return part(False).drop("__h").unionByName(sure.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
