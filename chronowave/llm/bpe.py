@@ -74,6 +74,7 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.results = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        self.pairs: dict[int, tuple[int, int]] = {}  # for huge words, made when the first one comes
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache_pieces, self.cache, self.first, self.token_ids = cache_pieces, {}, {}, {}
@@ -128,6 +129,8 @@ class ByteBpe:
         if n < 2:
             return np.array(ids, "<u4").tobytes()
         rank, result = (x.tolist() for x in self._lookup(np.array(ids[:-1]), np.array(ids[1:])))
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.results.tolist(), strict=True), strict=True))
         heap = [(r, i, ids[i], ids[i + 1], m) for i, (r, m) in enumerate(zip(rank, result, strict=True)) if r < NONE]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -142,9 +145,8 @@ class ByteBpe:
                 before[after[i]] = i
             for p in (before[i], i):
                 if p >= 0 and after[p] < n:
-                    r, x = self._lookup(np.array([ids[p]]), np.array([ids[after[p]]]))
-                    if r[0] < NONE:
-                        heapq.heappush(heap, (int(r[0]), p, ids[p], ids[after[p]], int(x[0])))
+                    if found := self.pairs.get(ids[p] * self.base + ids[after[p]]):
+                        heapq.heappush(heap, (found[0], p, ids[p], ids[after[p]], found[1]))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
     def _tokens(self, piece: str) -> list[str]:
@@ -217,8 +219,31 @@ def open_bpe(path: str) -> ByteBpe:
     return _OPEN[path]
 
 
+#: The characters that ``\\s`` means in the vocabulary's pattern. Runs of ``LONG_RUN`` are cut out of long texts.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 10_000
+_RUN = regex.compile(f"[{WHITE}]{{{LONG_RUN},}}+")
+
+
+def fast_ids(encoding, text: str | None) -> np.ndarray:
+    """The ids of a text by an encoder of ``open_fast``, as little-endian unsigned 32-bit integers.
+
+    The encoder's pattern runs out of stack in a huge run of white space. Pre-tokenization always cuts before such a run, and
+    before its last character where something follows, so the rest of the run is one word, and is encoded as one.
+    """
+    text = text or ""
+    if len(text) < LONG_RUN or not (runs := [*_RUN.finditer(text)]):
+        return encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+    parts, at = [], 0
+    for m in runs:
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        parts += [encoding.encode_to_numpy(text[at : m.start()], allowed_special="all"), np.array(encoding._encode_single_piece(text[m.start() : end]))]
+        at = end
+    return np.concatenate([*parts, encoding.encode_to_numpy(text[at:], allowed_special="all")]).astype("<u4")
+
+
 def open_fast(path: str):
-    """A tiktoken encoder with the ids of the same vocabulary file, for operators that only need ids.
+    """A tiktoken encoder with the ids of the same vocabulary file, for operators that only need ids (see ``fast_ids``).
 
     tiktoken takes ids for ranks, so the file's merges must make rising ids.
     """

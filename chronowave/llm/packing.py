@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import open_fast, vocabulary_path
+from .bpe import fast_ids, open_fast, vocabulary_path
 from .common import table, written
 
 CAPACITY = 2048
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for key, text in zip(keys, texts, strict=True):
-                packed = bpe.encode_to_numpy(text or "", allowed_special="all").astype("<u4").tobytes() + end
+                packed = fast_ids(bpe, text).tobytes() + end
                 n = len(packed) // 4
                 at, size, piece = 0, n % capacity or capacity, 0
                 while at < n:

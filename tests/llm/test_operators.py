@@ -58,6 +58,21 @@ def test_bpe_equals_the_library():
     assert mine.encode_batch([None]) == [b""]
 
 
+def test_huge_words_and_runs():
+    """A megabyte of one character class: ids as the library gives them, by either encoder."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    theirs, fast, mine = Tokenizer.from_file(path), bpe.open_fast(path), bpe.open_bpe(path)
+    r = random.Random(21)
+    texts = ["\n" * 1_000_000, "a" + " " * 1_000_000 + "b", "\n " * 500_000, "x" + "\n" * 20_000 + "y " + " " * 15_000 + "  z", " " * 30_000 + "<|endoftext|>" + "\t" * 20_000, "1" * 1_000_000, "-" * 1_000_000, "".join(r.choice(bpe.WHITE) for _ in range(40_000)) + "'s"]
+    for text in texts:
+        want = theirs.encode(text, add_special_tokens=False).ids
+        assert bpe.fast_ids(fast, text).tolist() == want
+        if len(text) < 100_000:
+            assert np.frombuffer(mine.encode_batch([text])[0], "<u4").tolist() == want
+
+
 def links(rows, k, num, den):
     sets = {}
     for d, t in rows:
