@@ -4,13 +4,13 @@ Texts are sets of word shingles. Two sets with Jaccard >= t share a token in the
 (a prefix holds the first ``n - ceil(t n) + 1`` tokens). Orders here put frequent tokens last and break ties by a different
 mixing of the token's hash. Candidates share a prefix token under the first order. Under the second and third, prefixes are
 longer by as much again, and similar sets then share ``n - ceil(t n) + 1`` tokens of each: only pairs that pass all orders are
-verified on whole sets. For that the texts of the documents concerned, and no others, are brought together, each once for a
-whole component of candidate pairs, and split again there.
+verified on whole sets. The sets are made again from the texts of the documents concerned alone.
 
 Postings carry their token's position in the prefix. At the first token that two sets share, nothing before it is common, so
 ``min(n_a - i, n_b - j)`` bounds the intersection; a pair must pass this bound at some shared token. A bitmap of each set
 (``64 * WORDS`` bits, one per token by hash) bounds the intersection again: every bit of A that B lacks is a token of A that B
-lacks. It is looked up for the sets of candidate pairs alone. Both bounds only drop pairs that can't be similar.
+lacks. It is looked up for the sets of candidate pairs alone; pairs that pass meet bitmaps of ``FINE`` bits a token before whole sets
+move. All these bounds only drop pairs that can't be similar.
 
 Equal sets are one node, so copies never make pairs. Postings are shuffled once, sorted by token. The task that reads a list
 makes a star (every set with the one whose token comes earliest), a number of pairs linear in the list, and writes out, of
@@ -34,7 +34,7 @@ of each component, that with the least id (of rows with this id one, by a hash o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -42,10 +42,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import bit_table, drop_tables, in_table, table, written
+from .common import bit_table, drop_tables, hidden, in_table, shown, table, written
 
 LOCAL, HEAVY, SALT_FROM, SALTS = 4, 1 << 16, 200, 16
-WORDS, LONG_LIST, BLOCK, CELL = 16, 256, 1024, 1 << 20
+WORDS, LONG_LIST, BLOCK = 16, 256, 1024
+FINE, FINE_CELL, CELL, MIN_BLOCKS = 8, 1 << 24, 1 << 21, 4
 BITMAP = [f"s{i}" for i in range(WORDS)]
 NAMES = ["kind", "key", "h", "id", "n", *BITMAP]
 #: Characters of texts in work at once, and set ids that a task remembers so as not to post a copy again; both only bound memory.
@@ -321,26 +322,6 @@ def _sifted(pairs: DataFrame, survey: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(side("b"), "b").join(side("a"), "a").where(alike).select("a", "b", "a_n", "b_n")
 
 
-def _texts(source: DataFrame, hashes: DataFrame) -> DataFrame:
-    """h and text of the rows whose hash is in ``hashes.h`` (and of a few others), repeated rows once per task."""
-    bits = bit_table(hashes, "h")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        seen: set[int] = set()
-        for batch in batches:
-            h = batch.column(0).to_numpy()
-            hit = in_table(bits.value, h)
-            for i in np.flatnonzero(hit):
-                hit[i] = h[i] not in seen
-                if len(seen) < SEEN:
-                    seen.add(h[i])
-            yield batch.filter(pa.array(hit))
-
-    return source.select("h", "text").mapInArrow(run, "h long, text string")
-
-
 class _Set:
     """A set's tokens, and its longer prefixes under the second and third order, each sorted."""
 
@@ -364,45 +345,106 @@ def similar(x: _Set, y: _Set, num: int, den: int) -> bool:
     return both * den >= (len(x.tokens) + len(y.tokens) - both) * num
 
 
-def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) that pass the other orders and then the exact test.
+def fine_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """At least ``FINE`` bits a token, a power of two in all, so that the larger of two can be folded."""
+    bits = np.zeros(max(64, 1 << (FINE * len(hashes) - 1).bit_length()), np.uint8)
+    bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def alike(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], num: int, den: int) -> bool:
+    """The bound by fine bitmaps, of (size, bitmap)."""
+    (n, v), (m, w) = x, y
+    while len(v) > len(w):
+        v = v[: len(v) // 2] | v[len(v) // 2 :]
+    while len(w) > len(v):
+        w = w[: len(w) // 2] | w[len(w) // 2 :]
+    v_alone, w_alone = int(np.bitwise_count(v & ~w).sum()), int(np.bitwise_count(w & ~v).sum())
+    return min(n - v_alone, m - w_alone) * (num + den) >= (n + m) * num
+
 
-    Pairs are dealt by the component of candidates that they belong to, and the texts of a component's sets go there once each;
-    a component of more than ``CELL`` tokens is cut into blocks, and its texts go to the pairs of blocks where they are needed.
+#: A cell's number in the low bits of a set's id: any odd factor below 2^32 (arbitrary fixed value).
+SPREAD = 0x9E3779B1
+
+
+def _met(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, tokens: int, pack: Callable, unpack: Callable, test: Callable) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) whose sets pass ``test``, each set made once, packed, and sent where its pairs are.
+
+    Ids are cut into blocks of about ``tokens`` tokens, and a pair is dealt to the cell of its two blocks. Bit tables tell the
+    tasks that read the texts which rows hold a wanted set and which cells want it; a false hit sends a set that nobody asks
+    for. A task holds the sets of one cell.
     """
-    placed = components(pairs)
-    ends = pairs.select(F.col("a").alias("id"), F.col("a_n").alias("n")).union(pairs.select("b", "b_n")).distinct()
-    large = ends.join(placed, "id").groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
-    blocks = F.coalesce(F.expr(f"(n + {CELL - 1}) div {CELL}"), F.lit(1).cast("long"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-    dealt = pairs.select("a", "b").join(placed.select(F.col("id").alias("a"), "root"), "a").join(large, "root", "left").withColumn("blocks", blocks)
-    cells = written(dealt.select("root", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b"), "cells")
-    cell = ["root", "i", "j"]
-    members = cells.select(F.col("a").alias("id"), *cell).union(cells.select("b", *cell)).distinct().join(nodes.select("id", "least.h"), "id")
-    members = written(members, "members")
-    none = F.lit(None).cast("long")
-    texts = _texts(source, members).join(members, "h").select(*cell, F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), "text")
-    both = texts.unionByName(cells.select(*cell, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+    ends = written(pairs.select(F.col("a").alias("id"), F.col("a_n").alias("n")).union(pairs.select("b", "b_n")).distinct(), "ends")
+    blocks = max(MIN_BLOCKS, -(-(ends.agg(F.sum("n")).first()[0] or 0) // tokens))  # one row
+    block = lambda c: F.pmod(F.shiftright(c, 25), F.lit(blocks))
+    rows = bit_table(ends.join(nodes, "id").select("least.h"), "h")
+    drop_tables(ends)
+    key = lambda x, y: F.col(x).bitwiseXOR(block(y) * F.lit(SPREAD).cast("long")).alias("h")
+    cells = bit_table(pairs.select(key("a", "b")).union(pairs.select(key("b", "a"))), "h")
+
+    def make(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["cell", "kind", "a", "b", "a_n", "b_n", "data"]
+        others = np.arange(blocks, dtype=np.int64)
+        seen: set[int] = set()
+
+        def batch_of(out: list):
+            cell, ids, sizes, data = zip(*out, strict=True) if out else ((),) * 4
+            none = pa.nulls(len(cell), pa.int64())
+            return pa.record_batch([pa.array(cell, pa.int64()), pa.array([0] * len(cell), pa.int32()), pa.array(ids, pa.int64()), none, pa.array(sizes, pa.int64()), none, pa.array(data, pa.binary())], names)
+
+        for batch in batches:
+            out, held = [], 0
+            hit = in_table(rows.value, batch.column(0).to_numpy())
+            for text in batch.column(1).filter(pa.array(hit)).to_pylist():
+                s = shingles(text, k)
+                if not len(s) or (i := set_id(s)) in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(i)
+                data, own = pack(s), (i >> 25) % blocks
+                for j in others[in_table(cells.value, np.int64(i) ^ (others * np.int64(SPREAD)))].tolist():
+                    out.append((min(own, j) * blocks + max(own, j), i, len(s), data))
+                    held += len(data)
+                if held > 2_000_000:
+                    yield batch_of(out)
+                    out, held = [], 0
+            yield batch_of(out)
+
+    p, q = block("a"), block("b")
+    asked = pairs.select((F.least(p, q) * blocks + F.greatest(p, q)).alias("cell"), F.lit(1).alias("kind"), "a", "b", "a_n", "b_n", F.lit(None).cast("binary").alias("data"))
+    sets = source.select("h", "text").mapInArrow(make, "cell long, kind int, a long, b long, a_n long, b_n long, data binary")
+    dealt = sets.unionByName(asked).repartition(_partitions(pairs), "cell").sortWithinPartitions("cell", "kind")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        here, sets = None, {}
+        here, held = None, {}
         for batch in batches:
-            found = []
-            for *at, kind, a, b, text in zip(*[batch.column(c).to_pylist() for c in range(batch.num_columns)], strict=True):
-                if at != here:
-                    here, sets = at, {}
-                if kind == 0:
-                    if a not in sets:
-                        sets[a] = _Set(shingles(text, k), heavy.value, num, den)
-                elif similar(sets[a], sets[b], num, den):
-                    found.append((a, b))
-            x, y = zip(*found, strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-    links = written(both.repartition(_partitions(both), *cell).sortWithinPartitions(*cell, "kind").mapInArrow(run, "a long, b long"), "links")
-    drop_tables(placed, cells, members)
+            cell, kind, a, b = (batch.column(c).to_pylist() for c in range(4))
+            data, keep = batch.column(6), np.zeros(len(cell), bool)
+            for r in range(len(cell)):
+                if cell[r] != here:
+                    here, held = cell[r], {}
+                if kind[r] == 0:
+                    if a[r] not in held:
+                        held[a[r]] = unpack(data[r].as_py())
+                else:
+                    keep[r] = test(held[a[r]], held[b[r]])
+            yield batch.select(["a", "b", "a_n", "b_n"]).filter(pa.array(keep))
+
+    return dealt.mapInArrow(run, "a long, b long, a_n long, b_n long")
+
+
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) that pass fine bitmaps, then the other orders, then the exact test."""
+    packed_bits = lambda s: len(s).to_bytes(8, "little") + fine_bitmap(s).tobytes()
+    opened_bits = lambda d: (int.from_bytes(d[:8], "little"), np.frombuffer(d, np.uint64, offset=8))
+    opened_set = lambda d: _Set(np.frombuffer(d, np.uint64), heavy.value, num, den)
+    likely = written(_met(pairs, source, nodes, k, FINE_CELL, packed_bits, opened_bits, lambda x, y: alike(x, y, num, den)), "likely")
+    links = written(_met(likely, source, nodes, k, CELL, lambda s: s.tobytes(), opened_set, lambda x, y: similar(x, y, num, den)), "links")
+    drop_tables(likely)
     return links
 
 
@@ -484,10 +526,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """
     found = classes(docs, key, text, k, num, den)
     judged = found.where("least IS NOT NULL").groupBy("h").agg(F.max(F.col("h") != F.col("least.h")).alias("gone"), F.count(F.lit(1)).alias("times"))
-    judged = written(judged.where("gone OR times > 1").select(F.col("h").alias("__h2"), "gone"), "judged")
+    judged = written(judged.where("gone OR times > 1").select(F.col("h").alias("of"), "gone"), "judged")
     drop_tables(found)
-    bits = bit_table(judged, "__h2")
-    marked = docs.select("*", F.xxhash64(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")).alias("__h"))
+    bits = bit_table(judged, "of")
+    rows, names = hidden(docs)
+    marked = rows.withColumn("h", F.xxhash64(F.col(names[key]).cast("long"), F.col(names[text]).cast("string")))
 
     def part(hit: bool) -> DataFrame:
         def run(batches: Iterator) -> Iterator:
@@ -498,9 +541,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
 
         return marked.mapInArrow(run, marked.schema)
 
-    doubtful = part(True).join(judged, F.col("__h") == F.col("__h2"), "left")
-    sure, again = doubtful.where("gone IS NULL"), doubtful.where("NOT gone").dropDuplicates(["__h"])
-    return part(False).drop("__h").unionByName(sure.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    doubtful = part(True).join(judged, F.col("h") == F.col("of"), "left")
+    sure, again = doubtful.where("gone IS NULL"), doubtful.where("NOT gone").dropDuplicates(["h"])
+    return part(False).select(*shown(names)).unionByName(sure.unionByName(again).select(*shown(names)))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
