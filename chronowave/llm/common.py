@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,9 +37,23 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed by position, and the new name of each: an operator's own names then clash with none."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def shown(names: dict[str, str], *without: str) -> list[Column]:
+    """The columns of ``hidden`` under their old names, but for those named (in any case) in ``without``."""
+    return [F.col(h).alias(c) for c, h in names.items() if c.lower() not in without]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a new one on a local master
+    (tests); elsewhere an error, as executors would write where nobody else reads."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = getattr(shared_dir, "own", "") or "file://" + tempfile.mkdtemp(prefix="chronowave-")
         shared_dir.own = found
@@ -101,26 +116,3 @@ def in_table(bits: bytes, values):
     at = values & np.int64(BITS - 1)
     return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
 
-
-def without(rows: DataFrame, key: str, removed: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` isn't in the one column of ``removed``.
-
-    Rows that the bit table clears go on where they are; only the others, few while the table isn't full, are shuffled to an
-    exact anti join.
-    """
-    removed = removed.select(F.col(f"`{removed.columns[0]}`").alias("__removed"))
-    bits = bit_table(removed.select(F.xxhash64("__removed").alias("h")), "h")
-    marked = rows.select("*", F.xxhash64(F.col(f"`{key}`")).alias("__h"))
-
-    def part(hit: bool) -> DataFrame:
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                mask = in_table(bits.value, batch.column(batch.num_columns - 1).to_numpy()) == hit
-                yield pa.record_batch(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(mask))
-
-        return marked.mapInArrow(run, rows.schema)
-
-    doubtful = part(True)
-    return part(False).unionByName(doubtful.join(removed, doubtful[key] == removed["__removed"], "left_anti"))

@@ -162,6 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.concatenate(x) if x else np.zeros((0, N_FEATURES)), np.array([len(b) for b in x], np.int64), rows["y"].to_numpy(float))
 
 
+def _scored(model: Mil, texts: list[str | None]) -> np.ndarray:
+    out = [scores(model, *encode(texts[a:b])) for a, b in _groups(texts)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def classify(docs: DataFrame, model: Mil, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``, in one pass over the rows."""
     import pyarrow as pa
@@ -173,15 +178,25 @@ def classify(docs: DataFrame, model: Mil, text: str = "text", threshold: float =
 
     def run(batches):
         for batch in batches:
-            texts, out = batch.column(at).to_pylist(), []
-            for a, b in _groups(texts):
-                out.append(scores(model, *encode(texts[a:b])))
-            s = np.concatenate(out) if out else np.zeros(0)
+            s = _scored(model, batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*batch.schema.names, "score", "predicted"])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Mil, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all columns as they are."""
+    import pyarrow as pa
+
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(model, batch.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 

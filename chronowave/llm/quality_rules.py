@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, let, once, table, words
+from .common import SEPARATORS, hidden, let, once, shown, table, words
 
 
 class Rule(NamedTuple):
@@ -88,23 +88,35 @@ def repeat_words(w: Column, k: int) -> Column:
 
 
 def _fails(rule: Rule) -> Column:
-    left, right = F.col(rule.measure) * rule.denominator, F.col(rule.per) * rule.numerator
+    left, right = F.col(rule.measure) * rule.denominator, (F.lit(1) if rule.per == "one" else F.col(rule.per)) * rule.numerator
     bad = left < right if rule.fails_if == "<" else left > right
     return bad & (F.col("n_words") >= rule.from_words) if rule.from_words else bad
 
 
-def quality_rules(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
-    """Every column of ``docs`` that the measures don't replace, then the measures, ``base_failed``, ``failed_rules`` and ``kept``."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines", "n_stop_words", "base_failed", "failed_rules", "kept"]
-    rest = [c for c in docs.columns if c.lower() not in own]
-    counted = once(docs.select(*[docs[c] for c in rest], docs[text].alias("__text")), "__m", F.struct(*[v.alias(k) for k, v in measures(F.col("__text")).items()])).select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.col("__m.words.n").alias("n_words"), F.col("__m.word_chars").alias("word_chars"), F.col("__m.n_symbols").alias("n_symbols"),
-        F.col("__m.lines.dup").alias("n_dup_lines"), F.col("__m.words.repeat").alias("n_repeat_words"), F.col("__m.n_bangs").alias("n_bangs"),
-        F.col("__m.lines.n").alias("n_lines"), F.col("__m.words.stop").alias("n_stop_words"), F.lit(1).cast("long").alias("one"),
-    )
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_lines", "n_stop_words", "base_failed", "failed_rules", "kept")
+
+
+def _judged(docs: DataFrame, text: str, base, rules) -> tuple[DataFrame, dict[str, str]]:
+    """The hidden columns of ``docs`` and ``OWN``."""
+    rows, names = hidden(docs)
+    counted = once(rows, "m", F.struct(*[v.alias(k) for k, v in measures(F.col(names[text]).cast("string")).items()]))
+    part = {"n_words": "words.n", "n_dup_lines": "lines.dup", "n_repeat_words": "words.repeat", "n_lines": "lines.n", "n_stop_words": "words.stop"}
+    measured = counted.select(*names.values(), *[F.col(f"m.{part.get(c, c)}").alias(c) for c in OWN[:8]])
     failed = lambda some: F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in some]))
-    return counted.withColumns({"base_failed": F.size(failed(base)) > 0, "failed_rules": F.concat(failed(base), failed(rules))}).withColumn("kept", F.size("failed_rules") == 0).drop("one")
+    verdicts = {"base_failed": F.size(failed(base)) > 0, "failed_rules": F.concat(failed(base), failed(rules))}
+    return measured.withColumns(verdicts).withColumn("kept", F.size("failed_rules") == 0), names
+
+
+def quality_rules(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
+    """Every column of ``docs`` that ``OWN`` doesn't replace, then ``OWN``: the measures, the rules' names and the verdicts."""
+    judged, names = _judged(docs, text, base, rules)
+    return judged.select(*shown(names, *OWN), *OWN)
+
+
+def passing(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
+    """The rows of ``docs`` that pass every rule, with all columns as they are."""
+    judged, names = _judged(docs, text, base, rules)
+    return judged.where("kept").select(*shown(names))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
