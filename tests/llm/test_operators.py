@@ -350,6 +350,45 @@ def test_pii_features_agree(spark):
         assert [row[n] for n in pii.FEATURES] == [float(v) for v in pii._featurize(row["m"], row["k"], row["c"])[: len(pii.FEATURES)]]
 
 
+
+def test_pii_rich_texts(spark):
+    """Thousands of matches of several kinds in one text, after characters of several bytes."""
+    n, r = 3000, random.Random(15)
+    tokens = ["token=" + "".join(r.choice("abcdef") + r.choice("0123456789") for _ in range(16)) for _ in range(n)]
+    text = "é🙂 " + " ".join(f"10.{i % 256}.{i // 256}.7 a{i}@b.co" for i in range(n)) + " " + " ".join(tokens)
+    (found,) = spans_of(spark, [text])
+    assert ",".join(f for f in found if not f.startswith("secret")) == base(text)
+    secrets = [f.split(":") for f in found if f.startswith("secret")]
+    assert [text[int(a) : int(b)].removeprefix("token=") for _, a, b in secrets] == [t.removeprefix("token=") for t in tokens]
+    assert redacted(spark, [text]) == ["é🙂 " + " ".join("[ip] [email]" for _ in range(n)) + " " + " ".join("[secret]" for _ in range(n))]
+
+
+def test_pii_trees_agree(spark):
+    """The expression gives each candidate the probability that the trees give it in Python."""
+    model = pii.boosted()
+    rows, _ = pii.training_table(seed=9, n=20)
+    docs = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(rows)], "id int, x array<double>")
+    got = {r["id"]: r["m"] for r in docs.select("id", pii.margin(model, F.col("x")).alias("m")).collect()}
+    for i, x in enumerate(rows):
+        assert abs(got[i] - sum(pii._leaf(t, x) for t in model.trees)) < 1e-9
+
+
+def test_pii_held_out(spark):
+    """Precision and recall on candidates made with another seed, at the chosen thresholds."""
+    model = pii.boosted()
+    rows, labels = pii.training_table(seed=8, n=200)
+    kinds = [pii.KINDS[x[len(pii.FEATURES) :].index(1.0)] for x in rows]
+    said = [model.probability(x) >= model.thresholds[k] for x, k in zip(rows, kinds, strict=True)]
+    hit = sum(a and b for a, b in zip(said, labels, strict=True))
+    assert hit / sum(said) >= 0.97 and hit / sum(labels) >= 0.97
+    assert set(model.thresholds) == set(pii.KINDS) and pii.best_threshold([0.1, 0.2, 0.8, 0.9], [0, 0, 1, 1]) == 0.5
+
+
+def test_pii_none(spark, none):
+    assert pii.find_pii(none).count() == pii.redact(none).count() == 0
+    assert pii.redact(none).columns == none.columns
+
+
 def test_classifier(spark, odd, none):
     r = random.Random(5)
     good = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(r.randint(5, 300)))
