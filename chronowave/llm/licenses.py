@@ -6,8 +6,9 @@ a quarter (a half for the longest of a scale): with ``BANDS`` bands of one MinHa
 most (3/4)^48 = 1e-6. At containment 0.8 the similarity is at least 0.8/4.2, the chance at most 4e-5. Hits are counted over
 the retrieved window and both neighbours, so a passage that edits have stretched up to a window's length counts whole though
 two windows share it; either may retrieve it, by one band with a chance of at least 0.8/6.2 (0.8/3.2 for the longest of a
-scale), so at containment 0.8 it is missed with a chance of at most 1.4e-3 (1e-6). A document
-without any template shingle can't match and is left out first, exactly. A template of fewer than ``SHINGLE`` words
+scale), so at containment 0.8 it is missed with a chance of at most 1.4e-3 (1e-6). A document, and
+a window, without any template shingle can't match and is left out first, exactly, by a constant array of all templates' shingles
+in the plan: the list may be some thousand shingles long. Bands and templates are broadcast tables as long as the list. A template of fewer than ``SHINGLE`` words
 is one shingle, its whole word sequence, and is looked for exactly, without windows; one without words is an error.
 
 Everything on the main path is a native expression. Words are lower-cased A-Z, with marks at their edges dropped.
@@ -90,23 +91,24 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
     base = once(docs.select(docs[key].alias("__key"), docs[text].alias("__text")), "__sh", let(_words(F.col("__text")), _shingles)).drop("__text")
     # Few documents hold a template shingle; theirs are written once, as every scale reads them.
     base = written(base.where(F.arrays_overlap("__sh", every)).withColumn("__row", F.monotonically_increasing_id()), "license-shingles")
+    # Bands and templates are tables as long as the template list, whatever the corpus.
+    bands = spark.createDataFrame([(t["name"], b) for t in known for b in t["bands"]], "license string, band long")
+    kept = spark.createDataFrame([(t["name"], len(t["shingles"]), t["shingles"]) for t in known], "license string, n_shingles long, template array<long>")
     out = None
     for size in sorted({t["window"] for t in known}):
-        here = [t for t in known if t["window"] == size]
-        mine = long_array(sorted({h for t in here for h in t["shingles"]}))
+        here = [t["name"] for t in known if t["window"] == size]
+        mine = long_array(sorted({h for t in known if t["window"] == size for h in t["shingles"]}))
         step = max(1, size // 2)
         starts = F.sequence(F.lit(1), F.greatest(F.size("__sh"), F.lit(1)), F.lit(step))
         first = lambda s: F.greatest(s - step, F.lit(1))  # noqa: E731  where the window before starts
-        window = lambda s: F.struct(F.array_distinct(F.slice("__sh", s, size)).alias("w"), F.slice("__sh", first(s), s - first(s) + size + step).alias("near"))
+        window = lambda s: F.struct(F.array_distinct(F.slice("__sh", s, size)).alias("w"), F.slice("__sh", first(s), s - first(s) + size + step).alias("near"), s.alias("s"))
         windows = base.select("__key", "__row", F.explode(F.filter(F.transform(starts, window), lambda x: F.arrays_overlap(x["w"], mine))).alias("__w"))
-        banded = once(windows, "__b", let(F.col("__w.w"), _bands))
-        retrieved = [
-            F.when(F.arrays_overlap("__b", long_array(t["bands"])),  # a minimum is hashed with its band's number, so it meets only its own band
-                   F.struct(F.lit(t["name"]).alias("license"), F.lit(len(t["shingles"])).cast("long").alias("n_shingles"), F.size(F.array_intersect("__w.near", long_array(t["shingles"]))).cast("long").alias("hits")))
-            for t in here
-        ]
-        found = banded.select("__key", "__row", F.explode(F.array_compact(F.array(*retrieved))).alias("m")).select("__key", "__row", "m.*")
-        out = found if out is None else out.unionByName(found)
+        # A minimum is hashed with its band's number, so it meets only its own band.
+        banded = once(windows, "__b", let(F.col("__w.w"), _bands)).select("__key", "__row", "__w.s", F.col("__w.near").alias("near"), F.explode(F.array_distinct("__b")).alias("band"))
+        met = banded.join(F.broadcast(bands.where(F.col("license").isin(here))), "band")  # BANDS rows a template
+        retrieved = met.groupBy("__key", "__row", "s", "license").agg(F.first("near").alias("near"))
+        hits = retrieved.join(F.broadcast(kept), "license").select("__key", "__row", "license", "n_shingles", F.size(F.array_intersect("near", "template")).cast("long").alias("hits"))  # one row a template
+        out = hits if out is None else out.unionByName(hits)
     best = out.where(F.col("hits") >= F.ceil(F.col("n_shingles") * threshold - 1e-9)).groupBy("__key", "__row", "license", "n_shingles").agg(F.max("hits").alias("hits"))
     return best.select(F.col("__key").alias(key), "license", "n_shingles", "hits", (F.col("hits") / F.col("n_shingles")).alias("containment"))
 

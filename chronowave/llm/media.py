@@ -4,11 +4,11 @@ A payload is stored once, as an 8-bit grey PNG named by its SHA-256, in a tar sh
 shard, offset and length; header-only range reads (33 bytes) fill width, height and bit depth; whole reads give the samples.
 
 Payloads whose digest is in one row alone are stored by the task that reads them, without a shuffle. A bit table of fixed
-size (``BITS``), filled from the digests that repeat, tells them apart; a false hit only sends a payload through the other
+size, filled from the digests that repeat, tells them apart; a false hit only sends a payload through the other
 path, where copies meet by partial aggregation before the shuffle, so a payload of a third of all rows is no single task.
 
-Shards are written to a temporary name and renamed, and their names and contents follow from the partition's rows: a task
-that runs twice leaves the same file.
+A shard's name holds its task's attempt, and the index, a written table, holds only rows of attempts that Spark committed: a
+task that runs twice never meets the other's file, and files that no index row names are left over and unread.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts share one stored payload and get equal values; repeated
 rows stay repeated; an empty table writes no shard. Extra columns are ignored.
@@ -27,11 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table, written
+from .common import bit_table, in_table, scratch, table, written
 
 WIDTH = 64
 PNG_SIGNATURE = b"\x89PNG\r\n\x1a\n"
-BITS = 1 << 24
 HEADER_BYTES = 33  # signature and IHDR
 
 
@@ -82,33 +81,21 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
-def bit_table(keyed: DataFrame) -> bytes:
-    """The bit of every repeated digest set, packed; at most ``BITS / 64`` words reach the driver."""
-    repeated = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    at = F.pmod(F.xxhash64("digest"), F.lit(BITS))
-    cells = repeated.select(F.shiftright(at, 6).cast("int").alias("w"), at.alias("at")).selectExpr("w", "shiftleft(1L, CAST(at % 64 AS INT)) AS b")
-    found = cells.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(BITS // 64, np.int64)
-    out[found["w"].to_numpy()] = found["b"].to_numpy()
-    return out.tobytes()
+def store(keyed: DataFrame, path: str, digests: DataFrame | None = None) -> DataFrame:
+    """Every distinct (digest, payload) of ``keyed`` in tar shards under ``path``; the index. ``digests``: the digest of every
+    row, where a narrower table than ``keyed`` has it."""
+    repeated = (keyed if digests is None else digests).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = bit_table(repeated.select(F.xxhash64("digest").alias("h")), "h")
+    rows = keyed.select("digest", "payload", F.xxhash64("digest").alias("h"))
 
-
-def store(keyed: DataFrame, path: str) -> DataFrame:
-    """Every distinct (digest, payload) of ``keyed`` in tar shards under ``path``; the index."""
-    spark = keyed.sparkSession
-    bits = spark.sparkContext.broadcast(bit_table(keyed))
-
-    def part(repeated: bool):
+    def part(hit: bool) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
-            table = np.frombuffer(bits.value, np.int64)
             for batch in batches:
-                at = batch.column(2).to_numpy()
-                hit = (table[at >> 6] >> (at & 63)) & 1
-                yield pa.record_batch([batch.column(0), batch.column(1)], ["digest", "payload"]).filter(pa.array(hit == int(repeated)))
+                keep = in_table(bits.value, batch.column(2).to_numpy()) == hit
+                yield pa.record_batch([batch.column(0), batch.column(1)], ["digest", "payload"]).filter(pa.array(keep))
 
-        rows = keyed.select("digest", "payload", F.pmod(F.xxhash64("digest"), F.lit(BITS)).alias("at"))
         return rows.mapInArrow(run, "digest binary, payload binary")
 
     alone = write_shards(part(False), path, "single")
@@ -124,16 +111,16 @@ def write_shards(payloads: DataFrame, path: str, prefix: str = "shard") -> DataF
         from pyspark import TaskContext
 
         system, root = _filesystem(path)
-        name = f"{prefix}-{TaskContext.get().partitionId():06d}.tar"
-        sink = temp = None
+        task = TaskContext.get()
+        name = f"{prefix}-{task.partitionId():06d}-{task.taskAttemptId()}.tar"
+        sink = None
         at = 0
         for batch in batches:
             rows = []
             for digest, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if sink is None:
                     system.create_dir(root, recursive=True)
-                    temp = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
-                    sink = system.open_output_stream(temp)
+                    sink = system.open_output_stream(f"{root}/{name}")
                 data = png_encode(payload)
                 info = tarfile.TarInfo(digest.hex() + ".png")
                 info.size = len(data)
@@ -146,7 +133,6 @@ def write_shards(payloads: DataFrame, path: str, prefix: str = "shard") -> DataF
         if sink is not None:
             sink.write(b"\0" * 1024)
             sink.close()
-            system.move(temp, f"{root}/{name}")
 
     index = payloads.mapInArrow(run, "digest binary, shard string, offset long, length long")
     return written(index, "media-index")
@@ -213,8 +199,8 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = docs.select("doc_id", F.length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long").alias("n_bytes"), padded(F.col("text")).alias("payload"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    rows = written(keyed.select("doc_id", "n_bytes", "digest"), "media-rows")
     path = scratch(spark, "media")
-    index = store(keyed, path)
+    index = store(keyed, path, rows)
     found = stored_features(header_columns(index, path), path)
-    rows = keyed.select("doc_id", "n_bytes", "digest")
     return rows.join(found, "digest").drop("digest")

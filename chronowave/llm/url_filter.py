@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import once, table
+from .common import hidden, once, shown, table
 
 
 class UrlRule(NamedTuple):
@@ -25,16 +25,21 @@ class UrlRule(NamedTuple):
 
 #: The rules of the query's contract, in its notation.
 RULES = (UrlRule("net", "/", "block"), UrlRule("example.net", "/en/", "allow"), UrlRule("example.com", "/de/", "block"), UrlRule("org", "/fr/", "allow"))
-#: A small labelled table: invented names of unwanted and of plain sites (fixed values).
+#: A small labelled table: common words of the names of unwanted and of plain sites (fixed values, general English).
 UNWANTED = (
-    "spam-farm cheap-pills casino-bonus free-ringtones win-prizes hot-deals4u adult-cams payday-loans buy-followers link-farm click-here-now replica-watches "
-    "miracle-diet lotto-winner torrent-crack seo-links xxx-videos cheap-viagra-pills free-casino-spins spam-links pills-shop bonus-farm"
+    "casino poker jackpot betting slots roulette lottery bonus winner prize free cheap discount deals coupon outlet replica pills pharmacy viagra cialis "
+    "tablets diet slimming detox miracle adult webcam escort dating hookup singles payday loan loans credit debt refinance mortgage quick cash earn money "
+    "crypto doubler giveaway followers likes traffic backlinks seo clicks torrent crack keygen warez nulled serial download toolbar ringtones horoscope spam "
+    "farm ads popunder redirect parked domains expired rolex handbags"
 ).split()
 PLAIN = (
-    "news library blog www m thornton leighton easterly northern tension therapy theatre university weather museum recipes gardening science "
-    "city-council docs mail history sport music river school thunder another inherent rotation station mention"
+    "news daily times journal review library archive museum gallery theatre university college school academy institute research science physics biology "
+    "history geography language weather climate garden kitchen recipes cooking bakery travel railway airport harbour council city village county parliament "
+    "health hospital clinic dental sport football cricket cycling running music concert radio festival river mountain forest coast national park wildlife "
+    "software docs developer python database network hardware forum wiki blog photo studio design architecture engineering energy transport community "
+    "charity church market bookshop publishing press"
 ).split()
-PATHS = ("/en/825", "/fr/12", "/de/77.html", "/es/5/", "/", "/about", "/2021/03/story")
+PATHS = ("/", "/about", "/en/index.html", "/news/2021/03/story", "/item/825", "/de/77.html", "/p?id=3", "/contact", "/a/b/c", "/es/5/")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -52,20 +57,35 @@ def ngrams(host: Column, path: Column, sizes=(2, 3, 4)) -> Column:
     return F.concat(*[grams(host, n, "h") for n in sizes], *[grams(path, n, "p") for n in sizes])
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """host, path, label (1: unwanted): every name under a few domains and paths, a bounded table of a few hundred rows."""
-    rows = [(f"{'www.' if i % 3 == 0 else ''}{name}.example.{tld}", PATHS[(i + j) % len(PATHS)], float(label)) for label, names in ((1, UNWANTED), (0, PLAIN)) for i, name in enumerate(names) for j, tld in enumerate(("com", "org", "net"))]
-    rows.append(("", "", 0.0))
+def labelled_urls(spark: SparkSession, fold: int | None = None, held_out: bool = False) -> DataFrame:
+    """host, path, label (1: unwanted): names of one and two words under a few domains and paths, a bounded table of some
+    thousand rows. ``fold`` (0 to 4) leaves out every fifth name, or gives only these."""
+    rows = []
+    for label, names in ((1, UNWANTED), (0, PLAIN)):
+        for i, name in enumerate(names):
+            pairs = [name, *(name + mark + names[(7 * i + 11 * j) % len(names)] for j, mark in enumerate(("-", "", "-", "") * 3))]
+            rows += [(f"{'www.' * ((i + j) % 2)}{x}.{'com org net info co.uk'.split()[(i + j) % 5]}", PATHS[(3 * i + j) % len(PATHS)], float(label)) for j, x in enumerate([*pairs, f"{name}.example"])]
+    rows = [r for i, r in enumerate(rows) if fold is None or (i % 5 == fold) == held_out] + [("", "", 0.0)] * (not held_out)
     return spark.createDataFrame(rows, "host string, path string, label double")
 
 
-def train(spark: SparkSession, features: int = 1 << 12):
-    """The fitted (hashing, logistic regression) pipeline."""
+_MODELS: dict = {}
+
+
+def train(spark: SparkSession, features: int = 1 << 13, fold: int | None = None):
+    """The fitted (hashing, logistic regression) pipeline, once a session."""
+    key = (spark.sparkContext.applicationId, features, fold)
+    if key not in _MODELS:
+        _MODELS[key] = _train(labelled_urls(spark, fold), features)
+    return _MODELS[key]
+
+
+def _train(urls: DataFrame, features: int):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
-    data = labelled_urls(spark).select(ngrams(F.col("host"), F.col("path")).alias("grams"), "label").coalesce(1)
+    data = urls.select(ngrams(F.col("host"), F.col("path")).alias("grams"), "label").coalesce(1)
     stages = [HashingTF(inputCol="grams", outputCol="__features", numFeatures=features, binary=True), LogisticRegression(featuresCol="__features", regParam=0.02, maxIter=60, probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction")]
     return Pipeline(stages=stages).fit(data)
 
@@ -84,15 +104,13 @@ def url_filter(pages: DataFrame, url: str = "url", rules=RULES, block_from: floa
     """``pages`` with host, path, rule, score (the model's probability of an unwanted URL) and verdict."""
     from pyspark.ml.functions import vector_to_array
 
-    own = {"host", "path", "rule", "score", "verdict", "grams", "__url", "__r"}
-    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in own]
-    named = pages.select(*kept, pages[url].cast("string").alias("__url"))
-    host, path = host_path(F.col("__url"))
-    named = once(named, "__r", F.struct(host.alias("host"), path.alias("path"))).select(*kept, F.col("__r.host").alias("host"), F.col("__r.path").alias("path"))
+    rows, names = hidden(pages)
+    host, path = host_path(F.col(names[url]).cast("string"))
+    named = once(rows, "u", F.struct(host.alias("host"), path.alias("path"))).select(*names.values(), F.col("u.host").alias("host"), F.col("u.path").alias("path"))
     scored = train(pages.sparkSession).transform(named.withColumn("grams", ngrams(F.col("host"), F.col("path"))))
-    out = scored.select(*kept, "host", "path", rule_column(F.col("host"), F.col("path"), rules).alias("__r"), vector_to_array("__probability")[1].alias("score"))
-    verdict = F.coalesce(F.col("__r.verdict"), F.when(F.col("score") >= block_from, F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*kept, "host", "path", F.col("__r.text").alias("rule"), verdict.alias("verdict"), "score")
+    found = scored.select(*names.values(), "host", "path", rule_column(F.col("host"), F.col("path"), rules).alias("r"), vector_to_array("__probability")[1].alias("score"))
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("score") >= block_from, F.lit("block")).otherwise(F.lit("allow")))
+    return found.select(*shown(names, "host", "path", "rule", "verdict", "score"), "host", "path", F.col("r.text").alias("rule"), verdict.alias("verdict"), "score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

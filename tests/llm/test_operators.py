@@ -256,6 +256,120 @@ def test_licenses_of_few_words(spark):
         licenses.license_scan(docs, templates={"none": " . "})
 
 
+
+def test_licenses_recall_and_containment(spark):
+    """Notices with words replaced or dropped, against an exhaustive scan of all windows: recall, and equal hits."""
+    r = random.Random(16)
+    filler = lambda n: ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    bare = lambda text: [w for w in (re.sub(r"^[(\"]+|[.,;:()\"]+$", "", x) for x in text.lower().split()) if w]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    names, rows, want = list(licenses.TEMPLATES), [], {}
+    for i in range(300):
+        name = names[i % len(names)]
+        w = licenses.TEMPLATES[name].split()
+        if len(w) > 20:
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(("foo", "bar", ""))
+        text = " ".join(x for x in [*filler(r.randint(0, 300)), *w, *filler(r.randint(0, 300))] if x)
+        rows.append((i, text))
+        template = grams(bare(licenses.TEMPLATES[name]))
+        hits = len(template & grams(bare(text)))  # the passage is the only one of its kind in the text
+        if hits >= 0.8 * len(template):
+            want[i, name] = hits
+    got = {(x["doc_id"], x["license"]): x["hits"] for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [k for k in want if got.get(k) == want[k]]
+    assert len(want) > 200 and len(found) >= 0.98 * len(want)
+
+
+def test_url_model(spark):
+    """Held-out names of seen words, and every score against a slow sum over its n-grams."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = url_filter.train(spark, fold=0)
+    held = url_filter.labelled_urls(spark, 0, True).select("*", url_filter.ngrams(F.col("host"), F.col("path")).alias("grams"))
+    rows = model.transform(held).select("*", vector_to_array("__probability")[1].alias("p")).collect()
+    hit = sum(x["label"] == 1 and x["p"] >= 0.5 for x in rows)
+    assert hit / sum(x["p"] >= 0.5 for x in rows) >= 0.9 and hit / sum(x["label"] == 1 for x in rows) >= 0.85
+    hashing, regression = model.stages
+    for x in rows[:40]:
+        host, path = f"^{x['host']}$", x["path"]
+        grams = {mark + s[i : i + n] for mark, s in (("h", host), ("p", path)) for n in (2, 3, 4) for i in range(len(s) - n + 1)}
+        assert set(x["grams"]) == grams
+        z = regression.intercept + sum(regression.coefficients[j] for j in {hashing.indexOf(g) for g in grams})
+        assert abs(x["p"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_urls_of_any_length(spark, none):
+    docs = spark.createDataFrame([(1, "http://" + "a" * 50_000 + "/" + "b" * 50_000), (1, "http://" + "a" * 50_000 + "/" + "b" * 50_000)], "page_id long, url string")
+    out = url_filter.url_filter(docs.select("*", F.lit(1).alias("c0"), F.lit(2).alias("r"), F.lit(3).alias("u"), F.lit(4).alias("grams"))).collect()
+    assert len(out) == 2 and out[0] == out[1] and len(out[0]["host"]) == 50_000 and (out[0]["c0"], out[0]["r"], out[0]["u"], out[0]["grams"]) == (1, 2, 3, 4)
+    assert url_filter.url_filter(docs.limit(0)).count() == 0 and licenses.license_scan(none).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns with names that operators use themselves come out as they went in."""
+    names = ["one", "base", "found", "score", "predicted", "kept", "n_words", "c0", "h", "of", "gone", "m", "t", "p", "least"]
+    text = " ".join(f"word{i} the of" for i in range(40)) + " a@b.co"
+    docs = spark.createDataFrame([(i, text + f" {i}", *names) for i in range(3)], ["doc_id", "text", *names])
+    model = quality_classifier.Mil(*[np.zeros(1)] * 9, base=0.9)
+    for out in (quality_rules.passing(docs), quality_classifier.accepted(docs, model), pii.redact(docs), near_dup.keep_one(docs)):
+        assert out.columns == docs.columns
+        for row in out.collect():
+            assert list(row)[2:] == names and (row["text"] in (text + f" {row['doc_id']}", text.replace("a@b.co", "[email]") + f" {row['doc_id']}"))
+    assert quality_rules.quality_rules(docs).where("kept").count() == 3
+
+
+def test_keep_one_of_equal_ids(spark):
+    """Rows of one id are judged by their own texts; of equal rows one stays."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (7, None), (7, None), (8, "")]
+    got = sorted(near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert got == sorted([(1, a), (5, b), (7, None), (7, None), (8, "")], key=str)
+
+
+def test_warc_odd_rows(spark):
+    """Line ends in a url stay out of the header, records have ids of their own, and rows come from the records' bytes."""
+    url = "http://a/\r\nWARC-Payload-Digest: sha1:X"
+    pages = spark.createDataFrame([(6, url, "q", 1), (6, "b", "q", 2), (6, "c", "zz", 3), (None, "n", "q", 4), (2, url, "q" * 100_000, 5), (1, "d", "q" * 100_000, 6)], "page_id long, url string, html string, digest int")
+    archive = warc.write_archive(pages, common.scratch(spark, "test-warc-odd"), date="2020-01-02T03:04:05Z")
+    records = [bytes(r["record"]) for r in warc.reconstruct(spark, archive).collect()]
+    parsed = [warc.parse(r) for r in records]
+    assert len({p.fields["WARC-Record-ID"] for p in parsed}) == 6 and {p.fields["WARC-Date"] for p in parsed} == {"2020-01-02T03:04:05Z"}
+    assert sum(p.fields["WARC-Type"] == "revisit" for p in parsed) == 1 and any("%0D%0A" in p.fields.get("WARC-Target-URI", "") for p in parsed)
+    assert {r["uri"] for r in spark.read.parquet(archive.records).collect()} == {url, "b", "c", "n", "d"}
+    with pytest.raises(ValueError):
+        warc.parse(records[0][:-1])
+    with pytest.raises(ValueError):
+        warc.parse(next(r for r in records if b"\r\n\r\nzz\r\n" in r).replace(b"zz", b"zy"))
+    none = warc.write_archive(pages.limit(0), common.scratch(spark, "test-warc-none"))
+    assert warc.parsed(warc.reconstruct(spark, none)).count() == 0
+
+
+CONTRACT = {
+    "op1_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op2_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op3_ngram_join": "doc_id n_shingles component_id",
+    "op4_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op5_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op6_url_filter": "page_id host path rule verdict",
+    "op7_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op8_licenses": "doc_id license",
+    "op9_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op10_quality": "doc_id held_out score predicted",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_query_columns(spark, name):
+    from chronowave.llm.queries import QUERIES
+
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert set(CONTRACT[name].split()) <= set(out.columns)
+    if name != "op8_licenses" and name != "op5_packing":
+        source = "pages" if "page_id" in out.columns else "documents"
+        assert out.count() == spark.read.parquet(f"/root/testdata/sf0.001/{source}.parquet").count()
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
