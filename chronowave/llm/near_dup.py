@@ -367,12 +367,13 @@ def alike(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray], num: int, den: i
 SPREAD = 0x9E3779B1
 
 
-def _met(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, tokens: int, pack: Callable, unpack: Callable, test: Callable) -> DataFrame:
+def _met(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, tokens: int, pack: Callable, unpack: Callable, test: Callable, spanning: bool = False) -> DataFrame:
     """The pairs (a, b, a_n, b_n) whose sets pass ``test``, each set made once, packed, and sent where its pairs are.
 
     Ids are cut into blocks of about ``tokens`` tokens, and a pair is dealt to the cell of its two blocks. Bit tables tell the
     tasks that read the texts which rows hold a wanted set and which cells want it; a false hit sends a set that nobody asks
-    for. A task holds the sets of one cell.
+    for. A task holds the sets of one cell. With ``spanning``, pairs that other pairs of the cell have connected already are
+    neither tested nor given.
     """
     ends = written(pairs.select(F.col("a").alias("id"), F.col("a_n").alias("n")).union(pairs.select("b", "b_n")).distinct(), "ends")
     blocks = max(MIN_BLOCKS, -(-(ends.agg(F.sum("n")).first()[0] or 0) // tokens))  # one row
@@ -421,29 +422,39 @@ def _met(pairs: DataFrame, source: DataFrame, nodes: DataFrame, k: int, tokens:
         import pyarrow as pa
 
         here, held = None, {}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
         for batch in batches:
             cell, kind, a, b = (batch.column(c).to_pylist() for c in range(4))
             data, keep = batch.column(6), np.zeros(len(cell), bool)
             for r in range(len(cell)):
                 if cell[r] != here:
-                    here, held = cell[r], {}
+                    here, held, parent = cell[r], {}, {}
                 if kind[r] == 0:
                     if a[r] not in held:
                         held[a[r]] = unpack(data[r].as_py())
-                else:
+                elif not spanning or (x := root(a[r])) != (y := root(b[r])):
                     keep[r] = test(held[a[r]], held[b[r]])
+                    if spanning and keep[r]:
+                        parent[x] = y
             yield batch.select(["a", "b", "a_n", "b_n"]).filter(pa.array(keep))
 
     return dealt.mapInArrow(run, "a long, b long, a_n long, b_n long")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, heavy, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) that pass fine bitmaps, then the other orders, then the exact test."""
+    """Pairs (a, b, a_n, b_n) that pass fine bitmaps, then the other orders, then the exact test: enough to connect all ends that
+    such pairs connect."""
     packed_bits = lambda s: len(s).to_bytes(8, "little") + fine_bitmap(s).tobytes()
     opened_bits = lambda d: (int.from_bytes(d[:8], "little"), np.frombuffer(d, np.uint64, offset=8))
     opened_set = lambda d: _Set(np.frombuffer(d, np.uint64), heavy.value, num, den)
     likely = written(_met(pairs, source, nodes, k, FINE_CELL, packed_bits, opened_bits, lambda x, y: alike(x, y, num, den)), "likely")
-    links = written(_met(likely, source, nodes, k, CELL, lambda s: s.tobytes(), opened_set, lambda x, y: similar(x, y, num, den)), "links")
+    links = written(_met(likely, source, nodes, k, CELL, lambda s: s.tobytes(), opened_set, lambda x, y: similar(x, y, num, den), True), "links")
     drop_tables(likely)
     return links
 
