@@ -130,6 +130,12 @@ class Wave:
     def to_df(self, name: str = "value") -> DataFrame:
         return self.frame.df.select(*AXIS, self.column.alias(name))
 
+    def head_tail(self, n: int = 5) -> DataFrame:
+        """The first and last ``n`` samples of each trace, for display."""
+        w = self.frame.window()
+        ends = self.to_df().withColumn("__n", F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        return ends.where((F.col("idx") < n) | (F.col("idx") >= F.col("__n") - n)).drop("__n")
+
     def rows(self) -> list:
         """The values in order, for small results."""
         return [r[0] if not hasattr(r[0], "as_tuple") else int(r[0]) for r in self.to_df().orderBy("trace", "idx").select("value").collect()]
@@ -210,8 +216,18 @@ class Wave:
     def __rmod__(self, other: Any) -> Wave:
         return self._arith(other, lambda a, b: I.divide(a, b, self.signed)[1], lambda _, b: min(b, 64), True, lambda a, b: a - F.floor(a / b) * b)
 
-    def __pow__(self, n: int) -> Wave:
-        """A constant power; powers by a wave go through ``map``."""
+    def __pow__(self, n: int | Wave) -> Wave:
+        """A power by a constant, or by a wave of at most four bits (one case for each exponent)."""
+        if isinstance(n, Wave):
+            value, w = self._operand(n)
+            if w is None or w > 4 or self.int is None:
+                raise NotImplementedError("exponents of more than four bits")
+            powers = [I.power(self.int, k, self.signed) for k in range(1 << w)]
+            cases = F.lit(None).cast(I.DECIMAL)
+            for k, p in enumerate(powers):
+                cases = F.when(value.col == k, p.as_(False)).otherwise(cases)
+            out = Int(cases, min(p.lo for p in powers), max(p.hi for p in powers))
+            return self.like(Int(out.as_(out.narrow), out.lo, out.hi), 64, self.signed)
         if not isinstance(n, int) or n < 0 or self.int is None:
             raise TypeError("powers take a constant, non-negative integer")
         return self.like(I.power(self.int, n, self.signed), 64, self.signed)
@@ -227,8 +243,9 @@ class Wave:
             raise ValueError("widths differ")
         if not isinstance(other, Wave) and w > self.width:
             raise ValueError("the constant is wider than the signal")
-        if self.width > 64:
-            raise NotImplementedError("bit operators past 64 bits")
+        if self.width > 64:  # 63 low bits and the rest, each by itself
+            low, high = (other[62:0], other[self.width - 1 : 63]) if isinstance(other, Wave) else (int(other) & ((1 << 63) - 1), int(other) >> 63)
+            return Wave.concatenate([self[62:0]._bits(low, name), self[self.width - 1 : 63]._bits(high, name)])
         return self.like(Int.unsigned(getattr(self.int.pattern(), name)(value.pattern()), self.width if not self.signed else 64), self.width, False)
 
     def __and__(self, other: Any) -> Wave:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ def filter_values(wave: Wave, predicate: Callable[[Column], Column]) -> Frame:
     return _only(wave).where(predicate(F.col("value")))
 
 
+def vectorized_filter(wave: Wave, func: Callable[[np.ndarray], np.ndarray]) -> Frame:
+    """Samples where a NumPy function of a batch of values is true; it must not look across samples."""
+
+    @F.pandas_udf("boolean")
+    def keep(s: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(func(s.to_numpy()), dtype=bool))
+
+    return _only(wave).with_column(__keep=keep(F.col("value"))).where(F.col("__keep"))
+
+
 def time_slice(frame: Frame, begin: int | None = None, end: int | None = None, include_end: bool = False) -> Frame:
     """``begin <= time < end``; the filter reaches the scan where time is a stored column."""
     return frame.where(_between("time", begin, end, include_end))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +55,19 @@ def downsample(wave: Wave, chunk: int, func: Callable[[Column], Column] = F.avg)
     return wave.to_df().groupBy("trace", cell).agg(func("value").alias("value"), F.avg("clock").alias("clock"), F.avg("time").alias("time"))
 
 
+def downsample_by(wave: Wave, chunk: int, func: Callable[[np.ndarray], float] = np.mean) -> DataFrame:
+    """``downsample`` by any function of a window's values, in order; windows hold at most ``chunk`` values, so their arrays are
+    bounded. Prefer ``downsample``, which runs in the JVM and combines partial windows."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: float(func(np.asarray(x))))
+
+    cell = F.floor(F.col("idx") / chunk).cast("bigint").alias("idx")
+    windows = wave.to_df().groupBy("trace", cell).agg(F.sort_array(F.collect_list(F.struct(F.col("idx").alias("i"), "value"))).alias("v"), F.avg("clock").alias("clock"), F.avg("time").alias("time"))
+    return windows.select("trace", "idx", run(F.col("v.value")).alias("value"), "clock", "time")
+
+
 def run_lengths(wave: Wave) -> DataFrame:
     """Runs of ones of a one-bit wave: the k-th rise paired with the k-th fall, both by rank. Runs cut by an end are left out."""
     edges = wave.frame.with_waves(__r=rising_edge(wave), __f=falling_edge(wave)).df

@@ -2,6 +2,7 @@
 
 from .builder import Channel, Pattern
 from .plan import collect, match
+from .records import MatchRecords
 from .runner import PatternError
 
-__all__ = ["Channel", "Pattern", "PatternError", "collect", "match"]
+__all__ = ["Channel", "MatchRecords", "Pattern", "PatternError", "collect", "match"]

@@ -237,7 +237,8 @@ def _run(body: Any, frame: Frame, timeout: int | None, timeout_message: str | No
         raise PatternError("a body is a plain function")
     found: dict[str, Wave] = dict(waves or {})
     waves_in(body, found)
-    found = {n: w for n, w in found.items() if w.frame is frame}
+    if strange := [w.name for w in found.values() if w.frame is not frame]:
+        raise PatternError(f"waves of another frame ({', '.join(strange)}): join the frames with align() first")
     kinds: dict[str, str] = dict(captures or {})
     if isinstance(body, Pattern) and not captures:
         kinds = _capture_types(body)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame, Wave
 from ..operators import sampling, select, windows
-from ..patterns import Pattern, collect, match
+from ..patterns import MatchRecords, Pattern, collect, match
 from ..patterns.plan import KeyChannel
 from ..session import configure
+from . import dump_queries
 
 KINDS = ("view", "purchase", "click", "error", "signup")
 
@@ -231,3 +232,21 @@ _add(
     lambda f: match(Pattern().wait(f["view"]).wait(f["purchase"], require=f["error"] == 0), frame=f, timeout=4).groupBy(F.col("status.kind").alias("status")).agg(F.count("*").alias("n"), F.sum("duration").alias("cycles")),
     f"WITH {BASE}, {_n}, {_best.format(t='4 * (idx + 4), ')} SELECT st AS status, count(*) AS n, CAST(sum(en - s + 1) AS BIGINT) AS cycles FROM m GROUP BY st",
 )
+_add("records_slice", lambda f: _flat(MatchRecords(match(Pattern().wait(f["view"]).wait(f["purchase"], require=f["error"] == 0), frame=f, timeout=4)).filter_failed()[5:905].df), f"WITH {BASE}, {_n}, {_best.format(t='4 * (idx + 4), ')} " + _end.format(c="") + " WHERE st <> 'OK' ORDER BY m.trace, s LIMIT 900 OFFSET 5")
+_add(
+    "records_flags",
+    lambda f: MatchRecords(match(Pattern().wait(f["view"]).wait(f["purchase"], require=f["error"] == 0), frame=f, timeout=4)).with_flags().select("trace", F.col("start.index").alias("s"), "duration", "ok", "failed"),
+    f"WITH {BASE}, {_n}, {_best.format(t='4 * (idx + 4), ')} SELECT trace, s, en - s + 1 AS duration, CAST(st = 'OK' AS BIGINT) AS ok, CAST(st <> 'OK' AS BIGINT) AS failed FROM m",
+)
+
+# --- arrays and wide values -------------------------------------------------------------------------------------------
+_select("vectorized_filter", lambda f: select.vectorized_filter(f["v"], lambda a: a % 7 == 2), "v % 7 = 2")
+_add("downsample_by", lambda f: windows.downsample_by(f["k"], 5, lambda a: a[-1] - a[0]).drop("time"), "SELECT trace, idx // 5 AS idx, CAST(arg_max(k, idx) - arg_min(k, idx) AS DOUBLE) AS value, avg(clock) AS clock FROM w GROUP BY trace, idx // 5")
+_wide = "(CAST(k AS HUGEINT) + CAST(v AS HUGEINT) * 128 + CAST(v AS HUGEINT) * 140737488355328)"
+_wave("wave_wide_xor", lambda f: Wave.concatenate([f["k"], f["v"], f["v"]]) ^ Wave.concatenate([f["v"], f["k"], f["v"]]), f"CAST(xor({_wide}, CAST(v AS HUGEINT) + CAST(k AS HUGEINT) * 1099511627776 + CAST(v AS HUGEINT) * 140737488355328) AS VARCHAR)")
+_wave("wave_wide_and", lambda f: Wave.concatenate([f["k"], f["v"], f["v"]]) & ((1 << 80) - 12345), f"CAST({_wide} & (CAST(1208925819614629174706176 AS HUGEINT) - 12345) AS VARCHAR)")
+_wave("wave_pow_wave", lambda f: f["k"] ** f["k"][1:0], "CASE k & 3 WHEN 0 THEN 1 WHEN 1 THEN k WHEN 2 THEN k * k ELSE k * k * k END")
+_add("head_tail", lambda f: f["v"].head_tail(5), "SELECT trace, idx, clock, time, v AS value FROM (SELECT *, count(*) OVER (PARTITION BY trace) AS n FROM w) WHERE idx < 5 OR idx >= n - 5")
+
+QUERIES |= dump_queries.QUERIES
+ORACLES |= dump_queries.ORACLES

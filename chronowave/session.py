@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,3 +28,19 @@ def session(app: str = "chronowave", **conf: str) -> SparkSession:
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share: ``spark.checkpoint.dir``, or on a local master, where it is
+    unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="chronowave-"))
+        found = _OWN[0]
+    return f"{found.rstrip('/')}/chronowave/{uuid.uuid4().hex}-{name}"

@@ -42,7 +42,10 @@ def read_header(path: str) -> tuple[list[Node], int]:
                 raise ValueError(f"{path}: no $enddefinitions")
             text += block
         while (stop := text.find(b"$end", end + 15)) < 0:
-            text += file.read(1 << 16)
+            block = file.read(1 << 16)
+            if not block:
+                raise ValueError(f"{path}: no $end after $enddefinitions")
+            text += block
     tops: list[Node] = []
     stack: list[Node] = []
     for m in re.finditer(r"\$(scope|var|upscope)\b(.*?)\$end", text[:end].decode("utf-8", "replace"), re.S):
@@ -143,6 +146,44 @@ class VcdDataSource(DataSource):
         return VcdDataReader(self.options["path"], int(self.options.get("chunkBytes", CHUNK)), set(json.loads(codes)) if codes else None)
 
 
+def write_vcd(changes: DataFrame, signals: dict[str, tuple[str, int]], path: str, timescale: str = "1 ns") -> None:
+    """A dump of ``changes`` (time, seq, code, bits). ``signals``: full path, such as ``top.core.data[7:0]``, to (code, width).
+
+    A dump is one file in time order, so the sorted rows pass the driver one partition after the other; none is held.
+    """
+    from pyarrow import fs
+
+    tree: dict[str, Any] = {}
+    for full, (code, width) in signals.items():
+        *scopes, name = full.split(".")
+        here = tree
+        for scope in scopes:
+            here = here.setdefault(scope, {})
+        here[name] = (code, width)
+
+    def declared(node: dict[str, Any]) -> Iterator[str]:
+        for name, value in node.items():
+            if isinstance(value, dict):
+                yield f"$scope module {name} $end"
+                yield from declared(value)
+                yield "$upscope $end"
+            else:
+                base, selected = hierarchy._tail(name)
+                yield f"$var wire {value[1]} {value[0]} {base}{f' {selected}' if selected else ''} $end"
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + __import__("os").path.abspath(path))
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    single = {code for code, width in signals.values() if width == 1}
+    with system.open_output_stream(name) as out:
+        out.write("\n".join([f"$timescale {timescale} $end", *declared(tree), "$enddefinitions $end", ""]).encode())
+        before = None
+        for r in changes.orderBy("time", "seq").select("time", "code", "bits").toLocalIterator(prefetchPartitions=True):
+            if r[0] != before:
+                out.write(f"#{r[0]}\n".encode())
+                before = r[0]
+            out.write(f"{r[2]}{r[1]}\n".encode() if r[1] in single else f"b{r[2]} {r[1]}\n".encode())
+
+
 def has_fsdb_support() -> bool:
     """FSDB needs a proprietary library that isn't part of this engine."""
     return False
