@@ -1,8 +1,8 @@
 """From patterns to plans.
 
-Native: chains of wait, constant delay, capture and require on waves (next-true windows, all on one sort per trace, and an
-index gather for each step past the first), loops whose body is ``delay(1)``, small constant repeats, and one FIFO consume
-(rank arithmetic, split by trace and channel). Everything else runs in the runner, one trace per group.
+Native: chains of wait, constant delay, capture, require and branch on waves (running windows over one sort per trace, without a
+join), loops whose body is ``delay(1)``, small constant repeats, and one FIFO consume (rank arithmetic, split by trace and
+channel). Everything else runs in the runner, one trace per group.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def _truth(x: Any, frame: Frame) -> Column | None:
 
 
 def _flatten(steps: tuple[Step, ...], frame: Frame) -> list[Step] | None:
-    """A chain of native steps, or None."""
+    """Steps that all have a native form, repeats unrolled and loops over ``delay(1)`` made waits; or None."""
     out: list[Step] = []
     for s in steps:
         conds = [s.args[k] for k in ("cond", "require") if s.args.get(k) is not None]
@@ -40,9 +40,14 @@ def _flatten(steps: tuple[Step, ...], frame: Frame) -> list[Step] | None:
         if s.kind in ("wait", "require"):
             out.append(s)
         elif s.kind == "delay" and isinstance(s.n, int) and not isinstance(s.n, bool) and 0 <= s.n <= 1000 and (s.require is None or s.n <= 1):
-            out.append(s)
+            out += [s] * (s.n > 0)
         elif s.kind == "capture" and isinstance(s.signal, Wave) and s.signal.frame is frame and s.mode != "list":
             out.append(s)
+        elif s.kind == "branch":
+            ways = [_flatten(b.steps if b else (), frame) for b in (s.true_body, s.false_body)]
+            if None in ways:
+                return None
+            out.append(Step("branch", {"cond": s.cond, "ways": ways}))
         elif s.kind == "repeat" and isinstance(s.n, int) and 0 <= s.n <= 8:
             body = _flatten(s.body.steps, frame)
             if body is None:
@@ -61,6 +66,11 @@ def _flatten(steps: tuple[Step, ...], frame: Frame) -> list[Step] | None:
     return out
 
 
+def _every(steps: list[Step]) -> list[Step]:
+    """All steps in program order, those inside branches too."""
+    return [x for s in steps for x in ([y for way in s.ways for y in _every(way)] if s.kind == "branch" else [s])]
+
+
 def match(body: Any, *, frame: Frame, timeout: int | None = None, timeout_message: str | None = None, start_cycle: int | None = None, end_cycle: int | None = None, native: bool = True) -> DataFrame:
     """trace, start, end (index, cycle, time), duration, status (kind, message) and one column per capture.
 
@@ -73,95 +83,120 @@ def match(body: Any, *, frame: Frame, timeout: int | None = None, timeout_messag
             return out
         chain = _flatten(body.steps, frame)
         # A loop's own guard and zero-step ends under a timeout are left to the runner.
-        if chain is not None and not (timeout is not None and any(s.kind == "loop_wait" for s in chain)):
+        if chain is not None and not (timeout is not None and any(s.kind == "loop_wait" for s in _every(chain))):
             return _chain(chain, frame, timeout, timeout_message, start_cycle, end_cycle)
     return _run(body, frame, timeout, timeout_message, start_cycle, end_cycle)
 
 
 def _chain(steps: list[Step], frame: Frame, timeout: int | None, timeout_message: str | None, start_cycle: int | None, end_cycle: int | None) -> DataFrame:
-    w = W.partitionBy("trace").orderBy("idx")
-    following = w.rowsBetween(W.currentRow, W.unboundedFollowing)
-    df = frame.df
-    if end_cycle is not None:
-        df = df.where(F.col("clock") < end_cycle)
-    next_true = lambda c: F.coalesce(F.min(F.when(c, F.col("idx"))).over(following), F.lit(FAR))
-    cells: dict[str, Column] = {"__last": F.max("idx").over(W.partitionBy("trace").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))}
-    for k, s in enumerate(steps):
-        if s.kind in ("wait", "loop_wait"):
-            cond = _truth(s.cond, frame)
-            cond = ~cond if s.args.get("negate") else cond
-            cells[f"__n{k}"] = next_true(cond)
-            if s.args.get("require") is not None:
-                cells[f"__v{k}"] = next_true(~cond & ~_truth(s.require, frame))
-        if s.kind == "delay" and s.require is not None:
-            cells[f"__v{k}"] = ~_truth(s.require, frame)
-        if s.kind == "require":
-            cells[f"__v{k}"] = ~_truth(s.cond, frame)
-        if s.kind == "capture":
-            cells[f"__c{k}"] = s.signal.column
-    if steps and steps[0].kind == "wait":
-        first = _truth(steps[0].cond, frame)
-        cells["__first"] = first
-        cells["__bad"] = ~first & ~_truth(steps[0].require, frame) if steps[0].require is not None else F.lit(False)
-    rows = df.select("trace", "idx", "clock", "time", *[v.alias(n) for n, v in cells.items()])
-    own = rows if start_cycle is None else rows.where(F.col("clock") >= start_cycle)
-    body = steps
-    status = F.lit(None).cast("string")
-    if steps and steps[0].kind == "wait":
-        own = own.where(F.col("__first") | F.col("__bad"))
-        status = F.when(F.col("__bad"), F.lit("RequireViolated"))
-        body = steps[1:]
-    offset = len(steps) - len(body)
-    message = F.when(status.isNotNull(), F.lit(steps[0].message)) if offset else F.lit(None).cast("string")
-    names = list(dict.fromkeys(s.name for s in steps if s.kind == "capture"))
-    caps = {n: next(F.lit(None).cast(rows.schema[f"__c{k}"].dataType) for k, s in enumerate(steps) if s.kind == "capture" and s.name == n) for n in names}
-    live = own.select("trace", F.col("idx").alias("__s"), F.col("clock").alias("__sc"), F.col("time").alias("__st"), F.col("idx").alias("__i"), status.alias("__status"), message.cast("string").alias("__message"), *[c.alias(f"cap_{n}") for n, c in caps.items()], *[c for c in rows.columns if c.startswith("__") and c not in ("__first", "__bad")], F.col("clock").alias("__ec"), F.col("time").alias("__et"))
-    cells_df = rows.drop("__first", "__bad", "__last")
-    cell_names = [c for c in cells_df.columns if c.startswith("__")]
-    moved = False
-    s_at, i_at = F.col("__s"), F.col("__i")
-    late = (i_at - s_at + 1 > timeout) if timeout is not None else F.lit(False)
-    going = F.col("__status").isNull()
-
-    def gather(x: DataFrame) -> DataFrame:
-        """The cells of the current sample; a failed match needs only its end's clock and time."""
-        here = cells_df.select(F.col("trace"), F.col("idx").alias("__i"), F.col("clock").alias("__ec"), F.col("time").alias("__et"), *cell_names)
-        return x.drop("__ec", "__et", *cell_names).join(here, ["trace", "__i"])
-
-    for k, s in enumerate(body, offset):
-        if s.kind in ("capture", "require") and moved:
-            live, moved = gather(live), False
-        if s.kind == "capture":
-            first = s.mode == "first"
-            now = F.when(going & ~late, F.coalesce(F.col(f"cap_{s.name}"), F.col(f"__c{k}")) if first else F.col(f"__c{k}")).otherwise(F.col(f"cap_{s.name}"))
-            live = live.withColumns({f"cap_{s.name}": now, "__status": F.when(going & late, F.lit("Timeout")).otherwise(F.col("__status")), "__message": F.when(going & late, F.lit(timeout_message)).otherwise(F.col("__message"))})
-        elif s.kind == "require":
-            state = F.when(~going, F.col("__status")).when(late, F.lit("Timeout")).when(F.col(f"__v{k}"), F.lit("RequireViolated"))
-            text = F.when(~going, F.col("__message")).when(late, F.lit(timeout_message)).when(F.col(f"__v{k}"), F.lit(s.message))
-            live = live.withColumns({"__status": state, "__message": text})
-        else:
-            if moved:
-                live, moved = gather(live), False
-            out = lambda at, order, kind, text=None: F.struct(at.cast("bigint").alias("at"), F.lit(order).alias("order"), F.lit(kind).cast("string").alias("kind"), F.lit(text).cast("string").alias("text"))
-            cutoff = s_at + timeout if timeout is not None else F.lit(FAR)
-            if s.kind == "delay":
-                n = s.n
-                if n == 0:
-                    continue
-                options = [out(i_at + n, 1 if timeout is None else -1, None), out(F.col("__last"), 3, "Timeout", timeout_message), out(F.when(cutoff <= i_at + n - 1, F.greatest(cutoff, i_at)).otherwise(F.lit(FAR)), -2, "Timeout", timeout_message)]
+    """Backwards over the program: at every sample, the outcome of the steps from the k-th on is a struct, made from that of the
+    steps from the next on. A wait takes the outcome found at the next sample where it holds, a delay that of a later sample.
+
+    Samples are read in falling order, so "next" is "last seen", a linear running window; one exchange and one sort serve all
+    steps, and nothing is joined. An outcome holds the sample where each step began (``p``), which decides about a timeout at
+    the end: positions only rise, so the first step whose guard meets ``start + timeout`` is where a match times out.
+    """
+    df = frame.df if end_cycle is None else frame.df.where(F.col("clock") < end_cycle)
+    back = W.partitionBy("trace").orderBy(F.desc("idx"))
+    seen = back.rowsBetween(W.unboundedPreceding, W.currentRow)
+    selects = bool(steps) and steps[0].kind == "wait"
+    body = steps[1 if selects else 0 :]
+    ops = [Step(s.kind, {**s.args, "k": k}) for k, s in enumerate(_every(body))]
+    caps = [s for s in ops if s.kind == "capture"]
+    types = {s.k: df.select(s.signal.column.alias("x")).schema["x"].dataType for s in caps}
+    names = list(dict.fromkeys(s.name for s in caps))
+    numbered = iter(ops)
+
+    def number(some: list[Step]) -> list[Step]:
+        return [Step("branch", {**s.args, "ways": [number(way) for way in s.ways]}) if s.kind == "branch" else next(numbered) for s in some]
+
+    def outcome(kind: str | None, text: str | None, at: Column | None = None, **fields: Column) -> Column:
+        """An outcome at this sample, or at another one given as (idx, clock, time)."""
+        point = [F.col(c).cast("bigint").alias(c) if at is None else at[c].cast("bigint").alias(c) for c in ("idx", "clock", "time")]
+        own = [fields.get(f"p{s.k}", F.lit(None)).cast("bigint").alias(f"p{s.k}") for s in ops] + [fields.get(f"x{s.k}", F.lit(None)).cast(types[s.k]).alias(f"x{s.k}") for s in caps]
+        return F.struct(*point, F.lit(kind).cast("string").alias("kind"), F.lit(text).cast("string").alias("text"), *own)
+
+    here = F.struct("idx", "clock", "time")
+    cells: list[dict[str, Column]] = []  # each level needs the columns of the one before
+
+    def column(value: Column) -> Column:
+        name = f"__{sum(map(len, cells))}"
+        cells.append({name: value})
+        return F.col(name)
+
+    last = column(F.first(here).over(seen))
+
+    def begun(s: Step, o: Column, **more: Column) -> Column:
+        """``o`` with this step's own fields set."""
+        o = o.withField(f"p{s.k}", F.col("idx").cast("bigint"))
+        for name, value in more.items():
+            o = o.withField(name, value)
+        return o
+
+    def build(some: list[Step], after: Column) -> Column:
+        for s in reversed(some):
+            if s.kind == "branch":
+                yes, no = (build(way, after) for way in s.ways)
+                after = column(F.when(_truth(s.cond, frame), yes).otherwise(no))
+                continue
+            if s.kind == "capture":
+                after = column(begun(s, after, **{f"x{s.k}": s.signal.column.cast(types[s.k])}))
+                continue
+            late = outcome("Timeout", timeout_message, last)
+            if s.kind == "require":
+                found = F.when(_truth(s.cond, frame), after).otherwise(outcome("RequireViolated", s.message))
+            elif s.kind == "delay":
+                found = F.coalesce(column(F.lag(after, s.n).over(back)), late)
                 if s.require is not None:
-                    options.append(out(F.when(F.col(f"__v{k}"), i_at).otherwise(F.lit(FAR)), 2, "RequireViolated", s.message))
-                # Finishing needs all n steps inside the trace; the guard of the last step runs one sample before the end.
+                    found = F.when(_truth(s.require, frame), found).otherwise(outcome("RequireViolated", s.message))
             else:
-                options = [out(F.when(cutoff < i_at, i_at).otherwise(cutoff), 0, "Timeout", timeout_message), out(F.col(f"__n{k}"), 1, None), out(F.col("__last"), 3, "Timeout", timeout_message)]
+                cond = _truth(s.cond, frame)
+                cond = ~cond if s.args.get("negate") else cond
+                goal = column(F.last(F.when(cond, F.struct(F.col("idx").alias("at"), after.alias("o"))), True).over(seen))
+                found = F.coalesce(goal["o"], late)
                 if s.args.get("require") is not None:
-                    options.append(out(F.col(f"__v{k}"), 2, "RequireViolated", s.message))
-            best = F.array_min(F.array(*options))
-            live = live.withColumn("__b", F.when(going, best))
-            live = live.withColumns({"__i": F.coalesce("__b.at", "__i"), "__status": F.when(going, F.col("__b.kind")).otherwise(F.col("__status")), "__message": F.when(going, F.col("__b.text")).otherwise(F.col("__message"))}).drop("__b")
-            moved = True
-    if moved:
-        live = gather(live)
+                    broken = column(F.last(F.when(~cond & ~_truth(s.require, frame), here), True).over(seen))
+                    found = F.when(broken.isNotNull() & (goal.isNull() | (broken["idx"] < goal["at"])), outcome("RequireViolated", s.message, broken)).otherwise(found)
+            after = column(begun(s, found))
+        return after
+
+    result = build(number(body), outcome(None, None))
+    rows = df
+    if timeout is not None:
+        cells.insert(0, {"__dc": F.lag("clock", timeout).over(back), "__dt": F.lag("time", timeout).over(back)})
+    for level in cells:
+        rows = rows.withColumns(level)
+    rows = rows.withColumn("__o", result)
+    if start_cycle is not None:
+        rows = rows.where(F.col("clock") >= start_cycle)
+    bad = F.lit(False)
+    if selects:
+        first = _truth(steps[0].cond, frame)
+        if steps[0].require is not None:
+            bad = ~first & ~_truth(steps[0].require, frame)
+        rows = rows.where(first | bad)
+    o, p = F.col("__o"), lambda s: F.col("__o")[f"p{s.k}"]
+    deadline = F.col("idx") + timeout if timeout is not None else F.lit(FAR)
+    timed = F.lit(False)
+    for j, s in enumerate(ops):
+        ends = F.coalesce(*[p(x) for x in ops[j + 1 :]], o["idx"])  # the next step that began, or the end
+        meets = p(s) if s.kind in ("capture", "require") else F.least(p(s) + s.n - 1, ends) if s.kind == "delay" else ends
+        timed = timed | F.coalesce(p(s).isNotNull() & (deadline <= meets), F.lit(False))
+    values: dict[str, Column] = {}
+    for s in caps:
+        done, now = F.coalesce(p(s) < deadline, F.lit(False)) & ~bad, o[f"x{s.k}"]
+        before = values.get(s.name)
+        kept = F.lit(None).cast(types[s.k]) if before is None else before
+        values[s.name] = F.when(done, F.coalesce(before, now) if s.mode == "first" and before is not None else now).otherwise(kept)
+    end = lambda here, at, there: F.when(bad, F.col(here)).when(timed, at).otherwise(o[there])
+    status = F.when(bad, F.lit("RequireViolated")).when(timed, F.lit("Timeout")).otherwise(o["kind"])
+    text = F.when(bad, F.lit(steps[0].message if selects else None).cast("string")).when(timed, F.lit(timeout_message).cast("string")).otherwise(o["text"])
+    dc, dt = (F.col("__dc"), F.col("__dt")) if timeout is not None else (F.lit(None), F.lit(None))
+    live = rows.select(
+        "trace", F.col("idx").alias("__s"), F.col("clock").alias("__sc"), F.col("time").alias("__st"),
+        end("idx", deadline, "idx").alias("__i"), end("clock", dc, "clock").alias("__ec"), end("time", dt, "time").alias("__et"),
+        status.alias("__status"), text.alias("__message"), *[v.alias(f"cap_{n}") for n, v in values.items()],
+    )
     return _result(live, names)
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from chronowave import Frame
-from chronowave.patterns import Pattern, PatternError, collect, match
+from chronowave.patterns import MatchRecords, Pattern, PatternError, collect, match
 
 
 def rows(df, *captures):
@@ -89,3 +89,58 @@ def test_zero_time_loop_fails(spark):
     f = Frame.from_arrays(spark, {"go": [1, 0]})
     with pytest.raises(Exception, match="advance in time"):
         match(Pattern().wait(f["go"]).loop(Pattern().wait(True), until=False), frame=f).collect()
+
+
+def test_native_chains_equal_the_runner(spark):
+    """Random chains with branches, requirements, timeouts and windows, natively and sample by sample; no join in the plans."""
+    r = random.Random(31)
+    rows = [(t, i, i + 2, 10 * i, *(r.randint(0, 1) for _ in range(3)), 7 * i + t) for t in range(12) for i in range(r.choice((1, 2, 9, 14)))]
+    df = spark.createDataFrame(rows, "trace long, idx long, clock long, time long, a long, b long, c long, v long")
+    frame = Frame(df.repartition(3), {"a": (1, False), "b": (1, False), "c": (1, False), "v": (16, False)})
+    w = lambda: frame[r.choice("abc")]
+
+    def chain(p, depth=0):
+        for _ in range(r.randint(1, 4 - depth)):
+            kind = r.choice(("wait", "delay", "capture", "require", "branch", "loop")[: 6 - depth])
+            if kind == "wait":
+                p = p.wait(w(), require=r.choice((None, w())), require_message="w")
+            elif kind == "delay":
+                n = r.choice((0, 1, 1, 2, 4))
+                p = p.delay(n, require=w() if n < 2 and r.random() < 0.5 else None, require_message="d")
+            elif kind == "capture":
+                p = p.capture(r.choice("xy"), frame["v"], r.choice(("first", "last")))
+            elif kind == "require":
+                p = p.require(w(), message="r")
+            elif kind == "branch":
+                p = p.branch(w(), chain(Pattern(), depth + 1), r.choice((None, chain(Pattern(), depth + 1))))
+            else:
+                p = p.loop(Pattern().delay(1), **{r.choice(("until", "when")): w()})
+        return p
+
+    for _ in range(14):
+        body = chain(Pattern().wait(w(), require=r.choice((None, w())), require_message="s") if r.random() < 0.7 else Pattern())
+        limits = {"timeout": r.choice((None, None, 1, 3, 6)), "timeout_message": "late", "start_cycle": r.choice((None, 4)), "end_cycle": r.choice((None, 12))}
+        native, slow = match(body, frame=frame, **limits), match(body, frame=frame, native=False, **limits)
+        plan = native._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+        assert sorted(map(str, native.collect())) == sorted(map(str, slow.select(*native.columns).collect())), (body, limits)
+
+
+def test_waves_of_another_frame(spark):
+    one, other = (Frame.from_arrays(spark, {"a": [0, 1, 1]}) for _ in range(2))
+    with pytest.raises(PatternError, match="another frame"):
+        match(Pattern().wait(one["a"]).wait(other["a"]), frame=one)
+
+
+def test_match_records(spark):
+    frame = Frame.from_arrays(spark, {"a": [1, 0, 1, 0, 1, 0], "b": [0, 1, 0, 0, 0, 0]})
+    records = MatchRecords(match(Pattern().wait(frame["a"]).wait(frame["b"]), frame=frame))
+    assert len(records) == 3 and [x["start"]["index"] for x in records] == [0, 2, 4]
+    assert records[0]["status"]["kind"] == "OK" and records[-1]["start"]["index"] == 4 and records[1]["status"]["kind"] == "Timeout"
+    assert [x["start"]["index"] for x in records[1:]] == [2, 4] and len(records[-2:-1]) == 1 and len(records[2:1]) == 0
+    assert len(records.filter_ok()) == 1 and len(records.filter_failed()) == 2 and len(records.filter_status("RequireViolated")) == 0
+    assert [tuple(x) for x in records.with_flags().orderBy("start.index").select("ok", "failed").collect()] == [(1, 0), (0, 1), (0, 1)]
+    with pytest.raises(IndexError):
+        records[3]
+    with pytest.raises(TypeError):
+        records.filter_status("late")
