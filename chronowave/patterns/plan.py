@@ -1,8 +1,8 @@
 """From patterns to plans.
 
 Native: chains of wait, constant delay, capture, require and branch on waves (running windows over one sort per trace, without a
-join), loops whose body is ``delay(1)``, small constant repeats, and one FIFO consume (rank arithmetic, split by trace and
-channel). Everything else runs in the runner, one trace per group.
+join), loops whose body is ``delay(1)``, small constant repeats, one FIFO consume (rank arithmetic, split by trace and channel), and
+lists captured over a loop (one array for each run). Everything else runs in the runner, one trace per group.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def match(body: Any, *, frame: Frame, timeout: int | None = None, timeout_messag
     if timeout is not None and (isinstance(timeout, bool) or not isinstance(timeout, int) or timeout <= 0):
         raise PatternError("a timeout is a positive integer")
     if native and isinstance(body, Pattern):
-        if timeout is None and start_cycle is None and end_cycle is None and (out := _fifo(body, frame)) is not None:
+        if timeout is None and start_cycle is None and end_cycle is None and (out := _fifo(body, frame) or _burst(body, frame)) is not None:
             return out
         chain = _flatten(body.steps, frame)
         # A loop's own guard and zero-step ends under a timeout are left to the runner.
@@ -230,25 +230,68 @@ def _fifo(body: Pattern, frame: Frame) -> DataFrame | None:
     else:
         start_key = event_key = F.lit(0)
     before, after = [s for s in body.steps[:at] if s.kind == "capture"], [s for s in body.steps[at:] if s.kind == "capture"]
-    base = frame.df.withColumn("__last", F.max("idx").over(W.partitionBy("trace").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    payload = lambda caps, on: F.when(on, F.struct(F.lit(1).alias("one"), *[s.signal.column.alias(s.name) for s in caps]))
-    starts = base.where(cond).select("trace", start_key.cast("string").alias("ch"), "idx", "clock", "time", "__last", F.lit(1).alias("is_start"), payload(before, F.lit(True)).alias("cap"))
-    events = base.where(event).select("trace", event_key.cast("string").alias("ch"), "idx", "clock", "time", payload(after, F.lit(True)).alias("cap"))
-    lane = W.partitionBy("trace", "ch")
-    both = starts.select("trace", "ch", "idx", "is_start").unionByName(events.select("trace", "ch", "idx", F.lit(0).alias("is_start")))
+    payload = lambda caps: F.struct(F.lit(1).alias("one"), *[s.signal.column.alias(s.name) for s in caps])
+    point = F.struct("idx", "clock", "time")
+    starts = F.when(cond, F.struct(start_key.cast("string").alias("ch"), F.lit(1).alias("is_start")))
+    events = F.when(event, F.struct(event_key.cast("string").alias("ch"), F.lit(0).alias("is_start")))
+    last = F.max(point).over(W.partitionBy("trace")).alias("last")
+    rows = frame.df.select("trace", point.alias("at"), last, payload(before).alias("b"), payload(after).alias("a"), F.array_compact(F.array(starts, events)).alias("roles"))
+    both = rows.select("trace", "at", "last", "b", "a", F.inline("roles"))
     # At one sample the start comes first: events strictly before it are counted.
-    counted = both.withColumn("f", F.sum(1 - F.col("is_start")).over(lane.orderBy("idx", F.desc("is_start")).rowsBetween(W.unboundedPreceding, W.currentRow))).where("is_start = 1")
-    ranked = counted.withColumn("k", F.row_number().over(lane.orderBy("idx")) - 1)
-    ranked = ranked.withColumn("r", F.col("k") + F.max(F.col("f") - F.col("k")).over(lane.orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow))).select("trace", "ch", "idx", "r")
-    numbered = events.withColumn("r", F.row_number().over(lane.orderBy("idx")) - 1).select("trace", "ch", "r", F.col("idx").alias("__i"), F.col("clock").alias("__ec"), F.col("time").alias("__et"), F.col("cap").alias("__after"))
-    joined = starts.join(ranked, ["trace", "ch", "idx"]).join(numbered, ["trace", "ch", "r"], "left")
-    ends = base.where(F.col("idx") == F.col("__last")).select("trace", F.col("clock").alias("__lc"), F.col("time").alias("__lt"))
-    full = joined.join(ends, "trace")
-    live = full.select(
-        "trace", F.col("idx").alias("__s"), F.col("clock").alias("__sc"), F.col("time").alias("__st"),
-        F.coalesce("__i", "__last").alias("__i"), F.coalesce("__ec", "__lc").alias("__ec"), F.coalesce("__et", "__lt").alias("__et"),
-        F.when(F.col("__i").isNull(), F.lit("Timeout")).alias("__status"), F.lit(None).cast("string").alias("__message"),
-        *[F.col(f"cap.{s.name}").alias(f"cap_{s.name}") for s in before], *[F.col(f"__after.{s.name}").alias(f"cap_{s.name}") for s in after],
+    lane = W.partitionBy("trace", "ch").orderBy("at.idx", F.desc("is_start"))
+    counted = both.withColumns({"f": F.sum(1 - F.col("is_start")).over(lane), "k": F.sum("is_start").over(lane) - 1})
+    best = F.col("k") + F.max(F.when(F.col("is_start") == 1, F.col("f") - F.col("k"))).over(lane)
+    ranked = counted.withColumn("rank", F.when(F.col("is_start") == 1, best).otherwise(F.col("f") - 1))
+    # A rank is one start's and one event's in its lane at most, so a group is their match.
+    is_start = F.col("is_start") == 1
+    pair = ranked.groupBy("trace", "ch", "rank").agg(F.max(F.when(is_start, F.struct("at", "last", "b"))).alias("s"), F.max(F.when(~is_start, F.struct("at", "a"))).alias("e")).where("s IS NOT NULL")
+    end = F.coalesce("e.at", "s.last")
+    live = pair.select(
+        "trace", F.col("s.at.idx").alias("__s"), F.col("s.at.clock").alias("__sc"), F.col("s.at.time").alias("__st"),
+        end["idx"].alias("__i"), end["clock"].alias("__ec"), end["time"].alias("__et"),
+        F.when(F.col("e").isNull(), F.lit("Timeout")).alias("__status"), F.lit(None).cast("string").alias("__message"),
+        *[F.col(f"s.b.{s.name}").alias(f"cap_{s.name}") for s in before], *[F.col(f"e.a.{s.name}").alias(f"cap_{s.name}") for s in after],
+    )
+    return _result(live, [s.name for s in caps])
+
+
+def _burst(body: Pattern, frame: Frame) -> DataFrame | None:
+    """wait, then a loop of captures and ``delay(1)``: lists of the samples up to the loop's end.
+
+    Starts with one end share its run, an array made once by aggregation; each start takes its part. A run is as long as the
+    longest list in it.
+    """
+    kinds = [s.kind for s in body.steps]
+    if kinds != ["wait", "loop"] or body.steps[0].require is not None:
+        return None
+    head, loop = body.steps
+    *caps, step = loop.body.steps or (None,)
+    if step is None or step.kind != "delay" or step.n != 1 or isinstance(step.n, bool) or step.require is not None or not caps:
+        return None
+    if any(s.kind != "capture" or s.mode != "list" or not isinstance(s.signal, Wave) or s.signal.frame is not frame for s in caps) or len({s.name for s in caps}) < len(caps):
+        return None
+    cond, stop = _truth(head.cond, frame), _truth(loop.until if loop.until is not None else loop.when, frame)
+    if cond is None or stop is None:
+        return None
+    point = F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("idx", "clock", "time")])
+    back = W.partitionBy("trace").orderBy(F.desc("idx"))
+    seen = back.rowsBetween(W.unboundedPreceding, W.currentRow if loop.until is None else -1)
+    ends = F.last(F.when(stop if loop.until is not None else ~stop, point), True).over(seen)
+    last = F.first(point).over(back.rowsBetween(W.unboundedPreceding, W.currentRow))
+    values = F.struct(F.col("idx").alias("i"), *[s.signal.column.alias(s.name) for s in caps])
+    rows = frame.df.select("trace", point.alias("at"), cond.alias("begins"), values.alias("v"), ends.alias("end"), last.alias("last"))
+    rows = rows.withColumn("run", F.coalesce(F.col("end.idx"), F.lit(-1)))  # the trace's open run has no end
+    # The end's own sample is captured only where the trace stops the loop.
+    runs = rows.where(F.col("end").isNull() | (F.col("at.idx") < F.col("run"))).groupBy("trace", "run").agg(F.sort_array(F.collect_list("v")).alias("samples"))
+    starts = rows.where("begins").select("trace", "run", "at", "end", "last").join(runs, ["trace", "run"], "left")
+    first = F.col("at.idx") - F.get("samples", F.lit(0))["i"]
+    mine = F.when(F.col("samples").isNull() | (first < 0) | (first >= F.size("samples")), F.lit(None)).otherwise(F.slice("samples", (first + 1).cast("int"), F.size("samples")))
+    end = F.coalesce("end", "last")
+    live = starts.withColumn("mine", mine).select(
+        "trace", F.col("at.idx").alias("__s"), F.col("at.clock").alias("__sc"), F.col("at.time").alias("__st"),
+        end["idx"].alias("__i"), end["clock"].alias("__ec"), end["time"].alias("__et"),
+        F.when(F.col("end").isNull(), F.lit("Timeout")).alias("__status"), F.lit(None).cast("string").alias("__message"),
+        *[F.col(f"mine.{s.name}").alias(f"cap_{s.name}") for s in caps],
     )
     return _result(live, [s.name for s in caps])
 

@@ -144,3 +144,16 @@ def test_match_records(spark):
         records[3]
     with pytest.raises(TypeError):
         records.filter_status("late")
+
+
+@pytest.mark.parametrize("kind", ["until", "when"])
+def test_native_lists_equal_the_runner(spark, kind):
+    """Lists captured over a loop: ends at the trace's last sample, loops that end at once, and open runs."""
+    r = random.Random(32)
+    rows = [(t, i, i, 10 * i, *(r.randint(0, 1) for _ in range(2)), 7 * i + t) for t in range(30) for i in range(r.randint(1, 12))]
+    df = spark.createDataFrame(rows, "trace long, idx long, clock long, time long, a long, b long, v long")
+    frame = Frame(df, {"a": (1, False), "b": (1, False), "v": (16, False)})
+    body = Pattern().wait(frame["a"]).loop(Pattern().capture("x", frame["v"], mode="list").capture("y", frame["b"], mode="list").delay(1), **{kind: frame["b"]})
+    native, slow = match(body, frame=frame), match(body, frame=frame, native=False)
+    assert "Python" not in (plan := native._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
+    assert sorted(map(str, native.collect())) == sorted(map(str, slow.select(*native.columns).collect()))

@@ -89,3 +89,21 @@ def test_matched_and_eval(reader):
         reader.eval("tb.u{0,1}.s + 1", "tb.clk")
     assert extract_paths("a.b[3:0][1] + 1.5 * a.b[3:0]")[1] == {"__wave_0__": "a.b[3:0]"}
     assert not has_fsdb_support()
+
+
+def test_written_dumps_read_back(spark, tmp_path):
+    from chronowave.sources.vcd import write_vcd
+
+    rows = [(0, 1, "a", "0"), (0, 2, "b", "xz01"), (5, 3, "a", "1"), (5, 4, "b", "1"), (7, 5, "a", "0")]
+    write_vcd(spark.createDataFrame(rows, "time long, seq long, code string, bits string"), {"top.clk": ("a", 1), "top.u.bus[3:0]": ("b", 4)}, f"{tmp_path}/x/w.vcd")
+    reader = VcdReader(spark, f"{tmp_path}/x/w.vcd")
+    assert sorted((r["time"], r["code"], r["bits"]) for r in reader.changes().collect()) == sorted((t, c, b) for t, _, c, b in rows)
+    assert reader.signal("top.u.bus[2:1]").selected_width == 2
+    assert reader.load_waveform("top.u.bus", "top.clk").rows() == [1, 1] and reader.load_unknown_mask("top.u.bus", "top.clk").rows() == [12, 0]
+
+
+def test_headers_that_never_end(spark, tmp_path):
+    for text in ("$scope module a $end\n$enddefinitions", "$scope module a $end\n"):
+        (tmp_path / "cut.vcd").write_text(text)
+        with pytest.raises(ValueError, match="enddefinitions"):
+            VcdReader(spark, f"{tmp_path}/cut.vcd")
