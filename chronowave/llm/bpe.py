@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_groups
 
 #: The pre-tokenization pattern of the vocabulary files (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -260,18 +260,6 @@ def open_fast(path: str):
     return _OPEN[key]
 
 
-def text_groups(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of a batch with about so many characters each: bounds memory, whatever the texts' lengths."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encode_column(path: str) -> Column:
     """A pandas UDF from text to ids as little-endian unsigned 32-bit integers in one binary value."""
     @F.pandas_udf("binary")

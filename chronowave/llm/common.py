@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,28 @@ def shown(names: dict[str, str], *without: str) -> list[Column]:
     return [F.col(h).alias(c) for c, h in names.items() if c.lower() not in without]
 
 
+def text_groups(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of a batch with about so many characters each: bounds memory, whatever the texts' lengths."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+#: Rows in an Arrow batch at most: a Python worker then holds few long texts at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a new one on a local master
     (tests); elsewhere an error, as executors would write where nobody else reads."""
@@ -68,6 +90,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and any executor can be lost."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -89,6 +112,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

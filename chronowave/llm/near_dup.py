@@ -41,8 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import text_groups
-from .common import bit_table, drop_tables, hidden, in_table, shown, table, written
+from .common import bit_table, drop_tables, hidden, in_table, shown, table, text_groups, written
 
 LOCAL, HEAVY, SALT_FROM, SALTS = 4, 1 << 16, 200, 16
 WORDS, LONG_LIST, BLOCK = 16, 256, 1024
@@ -168,7 +167,7 @@ def fits(n, pos, m, at, num: int, den: int):
     return np.minimum(n - pos, m - at) * (num + den) >= (n + m) * num
 
 
-def _by_length(m: np.ndarray, starts: np.ndarray, cells: int = 1 << 20) -> Iterator[np.ndarray]:
+def _by_length(m: np.ndarray, starts: np.ndarray, cells: int = 1 << 18) -> Iterator[np.ndarray]:
     """Positions of the members of lists of equal length, as blocks (lists, length), with about ``cells`` pairs in a block."""
     for length in np.unique(m):
         at = starts[m == length]
@@ -499,8 +498,10 @@ def classes(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
     first = components(linked)
 
     # Lists with several components left.
-    placed = lists.where("more > 0").join(first, "id", "left").select("token", F.coalesce("root", "id").alias("root"), "id", "n", "pos", "more")
-    placed = written(placed, "placed")
+    # Roots are looked up once a set, not once a posting; a set has as many postings as its prefix has tokens.
+    owned = lists.where("more > 0").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "pos", "more")).alias("postings"))
+    placed = owned.join(first.select("id", "root"), "id", "left").select(F.coalesce("root", "id").alias("root"), "id", "n", F.inline("postings"))
+    placed = written(placed.select("token", "root", "id", "n", "pos", "more"), "placed")
     long, long_lists = _long_pairs(placed.where("more = 2").drop("more"), survey, num, den)
     cross = written(_short_pairs(placed.where("more = 1"), num, den).union(long).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     drop_tables(lists, placed, long_lists)

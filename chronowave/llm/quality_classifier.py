@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, text_groups
 
 PASSAGE_WORDS = 64
 #: Byte classes: white space, lower, upper, digit, "!", other ASCII marks by two groups, bytes past ASCII, controls.
@@ -135,8 +135,6 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 16, gate
 
 
 def _groups(texts: list[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    from .bpe import text_groups
-
     return text_groups(texts, limit)
 
 
@@ -188,6 +186,7 @@ def accepted(docs: DataFrame, model: Mil, text: str = "text", threshold: float =
     """The rows of ``docs`` that the model accepts, with all columns as they are."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches):

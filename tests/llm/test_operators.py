@@ -534,3 +534,55 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == {i for i in range(80) if i % 4}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {x["doc_id"] for x in packed} == kept
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null, empty, long and repeated rows, one id with two texts, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    r = random.Random(17)
+    text = lambda: " ".join(r.choice("the of and to was river stone light cloud green walking morning valley".split()) + str(r.randint(0, 999)) for _ in range(60)) + " the of and to"
+    one, two, three = text(), text(), text()
+    rows = [(1, one, "x", 1), (1, two, "x", 1), (2, one, "x", 2), (3, None, "x", 3), (4, "", "x", 4), (None, three, "x", 5), (6, text() + "\n" * 400_000 + "1" * 100_000, "x", 6), (7, three + " 1.2.3.4", "x", 7)]
+    schema = "doc_id long, text string, score string, kept int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([], schema)):
+        some, source = not docs.isEmpty(), docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.written(stage(spark, docs, str(tmp_path)), "test-odd")
+            assert docs.columns == ["doc_id", "text", "score", "kept"]
+        kept = docs.collect()
+        # Null and empty texts fail a rule; the copy of row 1 goes, and the row without an id that row 7 resembles.
+        assert sorted((x["doc_id"], x["kept"]) for x in kept) == ([(1, 1), (1, 1), (6, 6), (7, 7)] if some else [])
+        assert all("1.2.3.4" not in x["text"] and x["score"] == "x" for x in kept) and source == (len(rows) if some else 0)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert {x["doc_id"] for x in packed} == {x["doc_id"] for x in kept}
+
+
+def test_passages_equal_a_slow_encoding():
+    """Features and scores of the classifier against word-by-word Python."""
+    r = random.Random(18)
+    texts = [None, "", " \n", "One two  two\nThree! 4 é#", " ".join(r.choice(("ab", "Cd", "12", "!!", "x,y")) for _ in range(200)), "z" * 500]
+    x, n = quality_classifier.encode(texts)
+    at = 0
+    for t, k in zip(texts, n, strict=True):
+        w = words(t)
+        assert k == max(1, -(-len(w) // 64))
+        for p in range(k):
+            part, row = w[64 * p : 64 * p + 64], x[at + p]
+            data = "".join(part).encode()
+            chars, count = max(1, len(data)), max(1, len(part))
+            want = [sum(97 <= b < 123 for b in data) / chars, sum(65 <= b < 91 for b in data) / chars, sum(48 <= b < 58 for b in data) / chars, sum(b == 33 for b in data) / chars]
+            assert np.allclose(row[:4], want, atol=1e-6) and np.isclose(row[8], chars / count / 10, atol=1e-5)
+            assert np.isclose(row[9], len(set(part)) / count) and np.isclose(row[10], sum(a == b for a, b in zip(part, part[1:])) / count) and np.isclose(row[12], np.log1p(len(part)) / 5)
+        at += k
+    model = quality_classifier.fit(x.astype(float), n, np.array([0, 0, 0, 1, 1, 0]), steps=20)
+    at = 0
+    for k, s in zip(n, quality_classifier.scores(model, x, n), strict=True):
+        h = [np.tanh((x[at + p].astype(float) - model.mean) / model.scale @ model.w1 + model.b1) for p in range(k)]
+        e = np.array([(np.tanh(v @ model.v) / (1 + np.exp(-(v @ model.u)))) @ model.a for v in h])
+        weight = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        z = sum(a * v for a, v in zip(weight, h, strict=True)) @ model.c + model.d[0]
+        assert np.isclose(s, 1 / (1 + np.exp(-z)), atol=1e-9)
+        at += k
