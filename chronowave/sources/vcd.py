@@ -1,7 +1,8 @@
 """Value-change dumps as a Spark data source, and the reader over them.
 
 ``spark.read.format("vcd").load(path)`` gives (time, seq, code, bits). The header is read once; the body is cut into byte
-ranges that start at a time line, so tasks read independently; the option ``codes``, a JSON list, leaves other signals unread.
+ranges that start at a time line, so tasks read independently; the option ``codes``, a JSON list, leaves other signals unread,
+and ``until`` the changes from a time on: later byte ranges make no task.
 (Filters aren't pushed down: Spark shares a Python reader among scans of one plan, with the filters of only one of them.)
 """
 
@@ -88,8 +89,8 @@ class _Part(InputPartition):
 
 
 class VcdDataReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int, codes: set[str] | None = None):
-        self.path, self.chunk, self.codes = path, chunk, codes
+    def __init__(self, path: str, chunk: int, codes: set[str] | None = None, until: int | None = None):
+        self.path, self.chunk, self.codes, self.until = path, chunk, codes, until
 
     def partitions(self) -> list[InputPartition]:
         _, start = read_header(self.path)
@@ -105,6 +106,9 @@ class VcdDataReader(DataSourceReader):
                     at += found + 1 if found >= 0 else max(1, len(block) - 1)
                 if found < 0:
                     break
+                if self.until is not None and int(file.read_at(min(32, size - at), at).split()[0][1:]) >= self.until:
+                    size = at  # this range and all after it are too late
+                    break
                 cuts.append(at)
         return [_Part(a, b, i) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], size], strict=True))]
 
@@ -116,6 +120,8 @@ class VcdDataReader(DataSourceReader):
             first = w[0]
             if first == "#":
                 time = int(w[1:])
+                if self.until is not None and time >= self.until:
+                    return
             elif first in "bBrR":
                 code = next(words)
                 seq += 1
@@ -142,8 +148,8 @@ class VcdDataSource(DataSource):
         return "time long, seq long, code string, bits string"
 
     def reader(self, schema) -> VcdDataReader:
-        codes = self.options.get("codes")
-        return VcdDataReader(self.options["path"], int(self.options.get("chunkBytes", CHUNK)), set(json.loads(codes)) if codes else None)
+        codes, until = self.options.get("codes"), self.options.get("until")
+        return VcdDataReader(self.options["path"], int(self.options.get("chunkBytes", CHUNK)), set(json.loads(codes)) if codes else None, None if until is None else int(until))
 
 
 def write_vcd(changes: DataFrame, signals: dict[str, tuple[str, int]], path: str, timescale: str = "1 ns") -> None:
@@ -197,9 +203,10 @@ class VcdReader:
         self.spark, self.path, self.chunk_bytes = spark, path, chunk_bytes
         self.top_scopes, _ = read_header(path)
 
-    def changes(self, codes: list[str] | None = None) -> DataFrame:
-        """(time, seq, code, bits) of some signals, or of all."""
+    def changes(self, codes: list[str] | None = None, until: int | None = None) -> DataFrame:
+        """(time, seq, code, bits) of some signals, or of all; with ``until`` those before a time."""
         source = self.spark.read.format("vcd").option("chunkBytes", self.chunk_bytes)
+        source = source if until is None else source.option("until", until)
         return (source.option("codes", json.dumps(codes)) if codes else source).load(self.path)
 
     def __enter__(self) -> VcdReader:
@@ -249,7 +256,7 @@ class VcdReader:
             raise ValueError("xz_value is 0 or 1")
         edges = self._edges(clock, sample_on_posedge, **window)
         codes = sorted({n.code for n in signals.values()})
-        rows = self.changes(codes).select(F.lit(0).cast("bigint").alias("trace"), "code", "time", "seq", F.col("bits").alias("value"))
+        rows = self.changes(codes, window.get("end_time")).select(F.lit(0).cast("bigint").alias("trace"), "code", "time", "seq", F.col("bits").alias("value"))
         have = {r["code"] for r in rows.select("code").distinct().collect()}
         for n in signals.values():
             if n.code not in have:

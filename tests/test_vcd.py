@@ -107,3 +107,16 @@ def test_headers_that_never_end(spark, tmp_path):
         (tmp_path / "cut.vcd").write_text(text)
         with pytest.raises(ValueError, match="enddefinitions"):
             VcdReader(spark, f"{tmp_path}/cut.vcd")
+
+
+def test_changes_before_a_time(spark, tmp_path):
+    from chronowave.sources.vcd import VcdDataReader, write_vcd
+
+    rows = [(t, t, "a", str(t // 5 % 2)) for t in range(0, 4000, 5)]
+    write_vcd(spark.createDataFrame(rows, "time long, seq long, code string, bits string"), {"top.clk": ("a", 1)}, f"{tmp_path}/w.vcd")
+    reader = VcdReader(spark, f"{tmp_path}/w.vcd", chunk_bytes=500)
+    for until in (0, 1, 995, 1000, 9999):
+        assert sorted(r["time"] for r in reader.changes(until=until).collect()) == [t for t, *_ in rows if t < until]
+    whole, part = (len(VcdDataReader(f"{tmp_path}/w.vcd", 500, None, until).partitions()) for until in (None, 1000))
+    assert part < whole / 2
+    assert reader.load_waveform("top.clk", "top.clk", end_time=100).rows() == [0] * 10
