@@ -17,7 +17,10 @@ makes a star (every set with the one whose token comes earliest), a number of pa
 lists with further pairs that the bound allows, the members of these pairs. Verified stars are joined to components. Members
 then pair across components: in lists of at most ``LONG_LIST`` sets at once, in longer ones by blocks of about ``BLOCK``
 sets that lie outside the list's largest component against blocks of the whole list, with the bitmaps, so that no list is one
-task's work. Every pair that passes the bounds is thus tested or already connected, so components are exact.
+task's work. Of a pair of blocks, the pairs that the bounds allow are first thinned to a forest of the likeliest ones that spans
+the components they touch: a group of near copies then makes pairs in number of its sets, not of their square. Once the forests
+are verified, all pairs of the touched components that still lie apart are tested. Every pair that passes the bounds is thus
+tested or already connected, so components are exact.
 
 Frequent tokens are counted over all texts: tokens found in ``LOCAL`` documents or more of a run of texts are summed over the
 corpus, and the ``HEAVY`` most frequent ones form a table of fixed size. Any table gives right results; it only orders.
@@ -259,9 +262,31 @@ def _short_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.select("token", "root", "id", "n", "pos").mapInArrow(run, "a long, b long")
 
 
-def _long_pairs(placed: DataFrame, survey: DataFrame, num: int, den: int) -> DataFrame:
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of the edges (x, y) of a spanning forest, best edges first in the input; no other forest has better ones."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    u, v = ends[: len(x)], ends[len(x) :]
+    label, live, chosen = np.arange(len(nodes)), np.arange(len(x)), [np.zeros(0, np.int64)]
+    while len(live := live[label[u[live]] != label[v[live]]]):
+        p, q = label[u[live]], label[v[live]]
+        best, parent = np.full(len(nodes), -1), np.arange(len(nodes))
+        best[np.stack([p, q], 1).ravel()[::-1]] = np.repeat(live, 2)[::-1]  # the last one written stays
+        own = np.flatnonzero(best >= 0)
+        edge = best[own]
+        chosen.append(np.unique(edge))
+        parent[own] = label[u[edge]] + label[v[edge]] - own
+        mutual = (parent[parent] == np.arange(len(nodes))) & (np.arange(len(nodes)) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent != (up := parent[parent])).any():
+            parent = up
+        label = parent[label]
+    return np.sort(np.concatenate(chosen))
+
+
+def _long_pairs(placed: DataFrame, survey: DataFrame, num: int, den: int, thin: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs of different components in long lists that both bounds allow, by blocks: sets outside the list's largest
-    component against all sets."""
+    component against all sets. With ``thin``, of two blocks only the likeliest pairs that connect all components that their
+    pairs connect. Also the table that the pairs are read from."""
     cells = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
     sizes = cells.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most")).where("m > most")
     blocks = sizes.select("token", "main", F.expr(f"(m - most + {BLOCK - 1}) div {BLOCK}").alias("us"), F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("vs"))
@@ -282,11 +307,23 @@ def _long_pairs(placed: DataFrame, survey: DataFrame, num: int, den: int) -> Dat
         i, j = np.nonzero(may & (x["root"][:, None] != y["root"][None]) & (inner[None] | (x["id"][:, None] < y["id"][None])))
         bits = [[s[c].view(np.uint64) for c in BITMAP] for s in (x, y)]  # of a signed number the bits of its absolute value would count
         out, alone = [], [s["n"] - sum(np.bitwise_count(w).astype(np.int64) for w in b) for s, b in zip((x, y), bits, strict=True)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.float64)]
         for a in range(0, len(i), 1 << 16):
             p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
             both = sum(np.bitwise_count(v[p] & w[q]).astype(np.int64) for v, w in zip(*bits, strict=True))
-            good = np.minimum(alone[0][p] + both, alone[1][q] + both) * (num + den) >= (x["n"][p] + y["n"][q]) * num
-            out.append(_in_order(x["id"][p[good]], y["id"][q[good]]))
+            most, total = np.minimum(alone[0][p] + both, alone[1][q] + both), x["n"][p] + y["n"][q]
+            good = most * (num + den) >= total * num
+            if not thin:
+                out.append(_in_order(x["id"][p[good]], y["id"][q[good]]))
+                continue
+            held = [np.concatenate(c) for c in zip(held, (p[good], q[good], most[good] / total[good]), strict=True)]
+            first, second = x["id"][held[0]], y["id"][held[1]]
+            by = np.lexsort((np.maximum(first, second), np.minimum(first, second), -held[2]))  # lists of one group choose alike
+            held = [c[by] for c in held]
+            forest = _forest(x["root"][held[0]], y["root"][held[1]])
+            held = [c[forest] for c in held]
+        if thin:
+            out.append(_in_order(x["id"][held[0]], y["id"][held[1]]))
         return pa.Table.from_batches(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     cell = lambda x: [f"{x}_{c}" for c in ("token", "i", "j")]
@@ -502,17 +539,40 @@ def classes(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
     owned = lists.where("more > 0").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("token", "pos", "more")).alias("postings"))
     placed = owned.join(first.select("id", "root"), "id", "left").select(F.coalesce("root", "id").alias("root"), "id", "n", F.inline("postings"))
     placed = written(placed.select("token", "root", "id", "n", "pos", "more"), "placed")
-    long, long_lists = _long_pairs(placed.where("more = 2").drop("more"), survey, num, den)
-    cross = written(_short_pairs(placed.where("more = 1"), num, den).union(long).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    drop_tables(lists, placed, long_lists)
-    final, used = first, [pairs, stars, cross]
-    if not cross.isEmpty():
-        cross_sifted = written(_sifted(cross, survey, num, den), "cross-sifted")
-        more = _verified(cross_sifted, source, nodes, heavy, k, num, den)
-        used += [cross_sifted, more]
-        if not more.isEmpty():
-            final = components(linked.union(more))
-    drop_tables(*used, linked)
+    far = placed.where("more = 2").drop("more")
+    thin, thin_lists = _long_pairs(far, survey, num, den, True)
+    spans = written(thin.distinct(), "spans")
+    near = _short_pairs(placed.where("more = 1"), num, den)
+    cross = written(near.union(spans).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "cross")
+    drop_tables(lists, thin_lists)
+    final, used = first, [pairs, stars, placed, spans, cross, linked]
+
+    def joined(candidates: DataFrame) -> DataFrame:
+        """The components with the links among the candidates added."""
+        nonlocal linked
+        if candidates.isEmpty():
+            return final
+        sifted = written(_sifted(candidates, survey, num, den), "cross-sifted")
+        more = _verified(sifted, source, nodes, heavy, k, num, den)
+        used.extend([sifted, more])
+        if more.isEmpty():
+            return final
+        linked = linked.union(more)
+        return components(linked)
+
+    final = joined(cross)
+    if not spans.isEmpty():
+        # What a forest left out lies between components that it touched.
+        touched = far.join(_ends(spans).distinct(), "id", "left_semi").select("root").distinct()
+        apart = far.join(touched, "root", "left_semi").withColumnRenamed("root", "old").join(final.select("id", "root"), "id", "left")
+        apart = written(apart.select("token", F.coalesce("root", "old").alias("root"), "id", "n", "pos"), "apart")
+        every, every_lists = _long_pairs(apart, survey, num, den, False)
+        tested = stars.select("a", "b").union(cross)
+        rest = written(every.distinct().join(tested, ["a", "b"], "left_anti"), "rest")
+        drop_tables(apart, every_lists)
+        used.append(rest)
+        final = joined(rest)
+    drop_tables(*used)
 
     named = nodes.join(final, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("least"))

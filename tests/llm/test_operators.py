@@ -134,6 +134,37 @@ def test_near_duplicates_of_one_passage(spark, monkeypatch, long_list):
         assert 1 < len({c for _, c in got.values()}) < len(rows)
 
 
+def test_near_copies_make_few_pairs(spark):
+    """A long list of near copies: pairs fewer than its sets connect all that its many pairs connect."""
+    r = random.Random(7)
+    rows = []
+    for i in range(120):
+        w = [f"p{j}" for j in range(130)]
+        for _ in range(r.randint(1, 2)):
+            w[r.randrange(len(w))] = f"e{i}"
+        rows.append((i, i, " ".join(w)))
+    survey = near_dup._survey(spark.createDataFrame(rows, "key long, h long, text string"), 3).persist()
+    placed = survey.where("kind = 0").selectExpr("1L AS token", "id AS root", "id", "n", "0L AS pos").persist()
+    every, thin = ({(x["a"], x["b"]) for x in near_dup._long_pairs(placed, survey, 90, 100, t)[0].collect()} for t in (False, True))
+    assert thin <= every and len(every) > 2000 and len(thin) < len(rows)
+    for pairs in (thin, every - thin):  # no pair is left that the forest doesn't connect
+        ends = sorted({i for p in thin | pairs for i in p})
+        x, y = (np.array([p[s] for p in [*sorted(thin), *sorted(pairs)]]) for s in (0, 1))
+        assert len(near_dup._forest(x, y)) == len(thin) and len(ends) <= len(rows)
+
+
+def test_forest():
+    """The edges that Kruskal's algorithm takes."""
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        x, y = r.integers(0, 30, (2, int(r.integers(0, 90))))
+        of, taken = list(range(30)), []
+        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            if (p := of[a]) != (q := of[b]):
+                of, taken = [q if c == p else c for c in of], [*taken, i]
+        assert near_dup._forest(x, y).tolist() == taken
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "v", "é" * 50)], "page_id long, url string, html string")
     archive = warc.write_archive(pages, common.scratch(spark, "test-warc"))
